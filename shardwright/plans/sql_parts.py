@@ -53,3 +53,62 @@ doc_tok_rows AS (SELECT doc_ord, unnest(toks) AS tok, unnest(range(len(toks))) A
 token_rows AS (SELECT p.shard_id, p.shard_pos + (t.i - p.doc_start) AS pos, t.tok, t.doc_ord
                FROM pieces p JOIN doc_tok_rows t
                  ON t.doc_ord = p.doc_ord AND t.i >= p.doc_start AND t.i < p.doc_start + p.piece_len)"""
+
+# ---- batch plans ----------------------------------------------------------
+
+
+def aligned_plan(n_local: int, max_seq_len: int, world_size: int, grad_accum: int) -> str:
+    """Aligned batch plan rows as ``plan`` (needs TRAIN_SPANS before it)."""
+    need = n_local + 1
+    return f""",
+sp AS (SELECT shard_id, shard_stem, doc_idx, start_idx, end_idx, least(end_idx - start_idx, {max_seq_len}) AS L
+       FROM train_spans WHERE shard_id > 0),
+pp AS (SELECT *, sum(L) OVER (PARTITION BY shard_id ORDER BY doc_idx ROWS UNBOUNDED PRECEDING) - L AS P FROM sp),
+tot AS (SELECT shard_id, sum(L) AS total, count(*) AS n FROM sp GROUP BY shard_id),
+pts AS (SELECT shard_id, doc_idx AS j, P FROM pp UNION ALL SELECT shard_id, n AS j, total AS P FROM tot),
+nxt AS (SELECT a.shard_id, a.j AS s, a.P AS ps, min(b.j) AS nj
+        FROM pts a JOIN pts b ON a.shard_id = b.shard_id AND b.P >= a.P + {need}
+        GROUP BY a.shard_id, a.j, a.P),
+walk AS (SELECT n.shard_id, 0::BIGINT AS k, n.s, n.ps, n.nj FROM nxt n WHERE n.s = 0
+         UNION ALL
+         SELECT w.shard_id, w.k + 1, n.s, n.ps, n.nj FROM walk w JOIN nxt n ON n.shard_id = w.shard_id AND n.s = w.nj),
+pieces_k AS (SELECT w.shard_id, w.k AS slice_k, p.doc_idx, p.start_idx,
+                    CASE WHEN p.doc_idx = w.nj - 1 THEN p.start_idx + (w.ps + {need} - p.P)
+                         ELSE p.start_idx + p.L END AS end_idx,
+                    p.shard_stem, (p.doc_idx - w.s)::INTEGER AS piece
+             FROM walk w JOIN pp p ON p.shard_id = w.shard_id AND p.doc_idx >= w.s AND p.doc_idx < w.nj),
+calls AS (SELECT shard_id, (max(slice_k) + 1) // {world_size} AS n_calls FROM pieces_k GROUP BY shard_id),
+cb AS (SELECT shard_id, n_calls, sum(n_calls) OVER (ORDER BY shard_id ROWS UNBOUNDED PRECEDING) - n_calls AS call_base FROM calls),
+plan AS (SELECT ((cb.call_base + p.slice_k // {world_size}) // {grad_accum})::BIGINT AS step,
+                ((cb.call_base + p.slice_k // {world_size}) % {grad_accum})::INTEGER AS micro,
+                (p.slice_k % {world_size})::INTEGER AS rank,
+                p.shard_id::INTEGER AS shard_id, p.shard_stem, p.slice_k::BIGINT AS slice_k, p.piece,
+                p.doc_idx::BIGINT AS doc_idx, p.start_idx::BIGINT AS start_idx, p.end_idx::BIGINT AS end_idx
+         FROM pieces_k p JOIN cb USING (shard_id)
+         WHERE p.slice_k < cb.n_calls * {world_size})"""
+
+
+def unaligned_slices(num_tokens: int, world_size: int, grad_accum: int) -> str:
+    """Unaligned windows as ``uslices`` (needs DELIMS before it)."""
+    B = num_tokens // grad_accum
+    n_local = B // world_size
+    return f""",
+ucalls AS (SELECT shard_id, shard_stem_of_size AS shard_stem, shard_len,
+                  greatest((shard_len - {B} - 2) // {B} + 1, 0)::BIGINT AS n_calls
+           FROM (SELECT shard_id, shard_len,
+                        printf('fineweb_%s_%06d', CASE WHEN shard_id = 0 THEN 'val' ELSE 'train' END, shard_id) AS shard_stem_of_size
+                 FROM shard_sizes)),
+ucb AS (SELECT *, (sum(n_calls) OVER (ORDER BY shard_id ROWS UNBOUNDED PRECEDING) - n_calls)::BIGINT AS call_base FROM ucalls),
+uk AS (SELECT shard_id, shard_stem, call_base, unnest(range(n_calls)) AS k FROM ucb WHERE n_calls > 0),
+uslices AS (SELECT ((call_base + k) // {grad_accum})::BIGINT AS step, ((call_base + k) % {grad_accum})::INTEGER AS micro,
+                   r::INTEGER AS rank, shard_id::INTEGER AS shard_id, shard_stem,
+                   (k * {B} + r * {n_local})::BIGINT AS slice_start,
+                   (k * {B} + r * {n_local} + {n_local} + 1)::BIGINT AS slice_end
+            FROM uk, range({world_size}) t(r))"""
+
+# token stream and training spans together
+TOKEN_ROWS_SPANS = TRAIN_SPANS + "," + DOC_TOKENS + """,
+doc_tok_rows AS (SELECT doc_ord, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM doc_tokens),
+token_rows AS (SELECT p.shard_id, p.shard_pos + (t.i - p.doc_start) AS pos, t.tok, t.doc_ord
+               FROM pieces p JOIN doc_tok_rows t
+                 ON t.doc_ord = p.doc_ord AND t.i >= p.doc_start AND t.i < p.doc_start + p.piece_len)"""

@@ -18,6 +18,7 @@ BASE_CONF = {
     # token arrays are wide; keep Arrow batches small enough for worker memory
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # one BLAS thread per Python worker (grouped SVD runs one group per task)
     "spark.executorEnv.OMP_NUM_THREADS": "1",
     "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
