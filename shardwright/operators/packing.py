@@ -182,14 +182,16 @@ def bigram_hash(tokens: Column, vocab_size: int = BIGRAM_VOCAB_SIZE) -> Column:
     """Position 0 -> V-1; else ``(36313*cur XOR 27191*prev) mod (V-1)``
     in int32 arithmetic; crosses document borders."""
     mod = F.lit(vocab_size - 1).cast("long")
+    # previous token of every position (null at 0); the array is shifted once
+    # per row, never indexed per element
+    prev = F.concat(F.array(F.lit(None).cast("int")), F.slice(tokens, 1, F.size(tokens) - 1))
 
-    def h(x, i):
-        prev = F.element_at(tokens, i)          # 1-based: element i is tokens[i-1]
-        a = _wrap32(x.cast("long") * BIGRAM_MUL_CUR)
-        b = _wrap32(prev.cast("long") * BIGRAM_MUL_PREV)
-        return F.when(i == 0, mod).otherwise(F.pmod(a.bitwiseXOR(b), mod))
+    def h(cur, p):
+        a = _wrap32(cur.cast("long") * BIGRAM_MUL_CUR)
+        b = _wrap32(p.cast("long") * BIGRAM_MUL_PREV)
+        return F.when(p.isNull(), mod).otherwise(F.pmod(a.bitwiseXOR(b), mod))
 
-    return F.transform(tokens, h)
+    return F.zip_with(tokens, prev, h)
 
 
 def slice_buffers(plan: DataFrame, chunks: DataFrame) -> DataFrame:
