@@ -33,7 +33,7 @@ def _bounded_broadcast(small: DataFrame, n_rows_bound: int) -> DataFrame:
 
 def prefix_sum(df: DataFrame, ordinal: str, value: str, out: str,
                partition_cols: list[str] | None = None, block_size: int = 4096,
-               inclusive: bool = False) -> DataFrame:
+               inclusive: bool = False, out_type: str | None = "long") -> DataFrame:
     """Exclusive (default) running sum of ``value`` in ``ordinal`` order.
 
     ``ordinal`` must be unique inside ``partition_cols``.  The block table has
@@ -59,7 +59,8 @@ def prefix_sum(df: DataFrame, ordinal: str, value: str, out: str,
     run = F.sum(value).over(w_in)
     if not inclusive:
         run = run - F.col(value)
-    return joined.withColumn(out, (F.col("__blk_base") + run).cast("long")).drop(blk, "__blk_base")
+    total = F.col("__blk_base") + run
+    return joined.withColumn(out, total.cast(out_type) if out_type else total).drop(blk, "__blk_base")
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str,
