@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills QUERIES / ORACLES
-    from .plans import q_batches, q_index, q_runs, q_selection, q_tokens  # noqa: F401
+    from .plans import q_batches, q_eval, q_index, q_runs, q_selection, q_tokens  # noqa: F401
