@@ -26,4 +26,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills QUERIES / ORACLES
-    from .plans import q_batches, q_eval, q_index, q_runs, q_schedule, q_selection, q_tokens  # noqa: F401
+    from .plans import (q_batches, q_eval, q_geometry, q_index, q_runs, q_schedule,  # noqa: F401
+                        q_selection, q_tokens)
