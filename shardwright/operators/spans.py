@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BOS_ID, HEADER_TOKENS
-from ..functions.encoders import byte_decode
+from ..functions.encoders import byte_decode_frame
 from .ranges import overlap_join
 from .tokens import with_shard_names
 
@@ -130,7 +130,7 @@ def span_tokens(spans: DataFrame, chunks: DataFrame, skip_delimiter: bool = True
 def decode_spans(spans: DataFrame, chunks: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
     """Text of every span, delimiter skipped (byte decoder in the JVM)."""
     toks = span_tokens(spans, chunks, skip_delimiter=True, key_cols=key_cols)
-    return toks.withColumn("text", byte_decode(F.col("tokens"))).drop("tokens")
+    return byte_decode_frame(toks)
 
 
 def length_stats(spans: DataFrame) -> DataFrame:

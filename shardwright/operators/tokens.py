@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOS_ID, SHARD_NAME_FORMAT, SHARD_STEM_FORMAT, TOKEN_LIMIT
-from ..functions.encoders import byte_length, encode_document
+from ..functions.encoders import byte_length, byte_tokenize_frame, encode_document
 from .ordering import prefix_sum
 
 CHUNK_SIZE = 65536  # tokens per stored chunk row of a shard
@@ -31,6 +31,8 @@ def document_lengths(corpus: DataFrame, encoder: str | Callable = "byte") -> Dat
 
 def tokenize(corpus: DataFrame, encoder: str | Callable = "byte") -> DataFrame:
     """``(doc_ord, tokens, n_tokens)``; delimiter first."""
+    if encoder == "byte":
+        return byte_tokenize_frame(corpus.select("doc_ord", "text")).withColumn("n_tokens", F.size("tokens"))
     return corpus.select(
         "doc_ord", encode_document(F.col("text"), encoder).alias("tokens")
     ).withColumn("n_tokens", F.size("tokens"))
@@ -108,7 +110,8 @@ def token_chunks(corpus: DataFrame, shard_size: int, chunk_size: int = CHUNK_SIZ
     """
     offs = corpus_offsets(corpus, encoder)
     if "tokens" not in offs.columns:
-        offs = offs.withColumn("tokens", encode_document(F.col("text"), encoder))
+        offs = byte_tokenize_frame(offs) if encoder == "byte" else \
+            offs.withColumn("tokens", encode_document(F.col("text"), encoder))
     pieces = shard_pieces(offs, shard_size)
     C = F.lit(chunk_size).cast("long")
     p0 = F.col("shard_pos")
