@@ -183,3 +183,23 @@ def x8_random_subsets(spark, sf_dir):
     return scored.select(
         "shard_stem", "start_idx", "u42",
         *[(F.col("u42") < p / 100.0).alias(f"in_random42_{p}") for p in (10, 30, 50, 70)])
+
+
+@register("s8_s9_metrics_csv", f"""
+WITH {METRICS}
+SELECT shard_stem, start_idx, end_idx, has_enough_tokens, schatten_norm, CorrInt FROM metrics
+WHERE shard_stem LIKE 'fineweb_train%'
+""")
+def s8_s9_metrics_csv(spark, sf_dir):
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import metrics as mx
+    path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
+    m = metrics_standin(spark, sf_dir)
+    # first pass writes the first shard only, the second pass must skip it
+    first = m.select("shard_stem").distinct().orderBy("shard_stem").first()["shard_stem"]
+    mx.write_metrics(m.where(F.col("shard_stem") == first), path)
+    mx.write_metrics(m, path)
+    back = mx.read_metrics(spark, path)
+    return back.select("shard_stem", "start_idx", "end_idx", "has_enough_tokens", "schatten_norm", "CorrInt")
