@@ -204,3 +204,19 @@ def retime(official_prior: Column, prior_retimed: Column, new_measured: Column)
 def record_rule(mean: Column, p: Column, target: float, time_new: Column, time_prior: Column) -> Column:
     """A record needs mean <= target with p < 0.01 and a faster time."""
     return (mean <= F.lit(target)) & (p < F.lit(0.01)) & (time_new < time_prior)
+
+
+def loss_per_shard(shard_rows: DataFrame) -> DataFrame:
+    """Loss per shard (rows) and experiment (columns); ``shard_rows`` from
+    the loss-log view ``shards`` with ``run_id`` as the experiment name."""
+    exps = [r[0] for r in shard_rows.select("run_id").distinct().orderBy("run_id").collect()]
+    return shard_rows.groupBy("shard_name").pivot("run_id", exps).agg(F.first("val_loss"))
+
+
+def compare_experiments(step_rows: DataFrame, bench: DataFrame) -> DataFrame:
+    """Final loss (last step row) of each experiment next to its
+    evaluation accuracy; ranked by loss and by accuracy."""
+    final = step_rows.groupBy(F.col("run_id").alias("exp")).agg(F.max_by("val_loss", "step").alias("final_loss"))
+    j = final.join(bench.select("exp", "accuracy"), "exp", "left")
+    return j.withColumn("loss_rank", F.rank().over(Window.orderBy("final_loss"))) \
+        .withColumn("accuracy_rank", F.rank().over(Window.orderBy(F.col("accuracy").desc())))

@@ -89,24 +89,25 @@ def format_bench_rows(df: DataFrame) -> DataFrame:
 
 
 def parse_record_table(lines: DataFrame, track: str) -> DataFrame:
-    """Record rows of a markdown pipe table: ``|num|time|description|date|log|contributors|``.
+    """Record rows of a markdown pipe table: ``num | time | description | date | log | contributors``
+    (outer pipes optional).
 
     Links are stripped to their text; minutes from ``x minutes`` / ``x hours``.
     """
-    v = F.trim(F.col("value"))
+    v = F.regexp_replace(F.regexp_replace(F.trim(F.col("value")), r"^\|\s*", ""), r"\s*\|$", "")
     cells = F.split(v, r"\s*\|\s*")
-    row = lines.where(v.rlike(r"^\|\s*\d+\s*\|"))
+    row = lines.where(v.rlike(r"^\d+\s*\|"))
 
     def strip_links(c):
         return F.trim(F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1"))
 
-    time_txt = strip_links(cells[2])
+    time_txt = strip_links(F.get(cells, 1))
     num = F.regexp_extract(time_txt, r"([0-9.]+)", 1).try_cast("double")
     minutes = F.when(time_txt.rlike("(?i)hour"), num * 60).otherwise(num)
-    date_txt = strip_links(cells[4])
+    date_txt = strip_links(F.get(cells, 3))
     return row.select(
-        F.lit(track).alias("track"), strip_links(cells[1]).try_cast("int").alias("num"),
-        minutes.alias("minutes"), strip_links(cells[3]).alias("description"),
+        F.lit(track).alias("track"), strip_links(F.get(cells, 0)).try_cast("int").alias("num"),
+        minutes.alias("minutes"), strip_links(F.get(cells, 2)).alias("description"),
         F.try_to_timestamp(date_txt, F.lit("MM/dd/yy")).cast("date").alias("date"),
-        F.filter(F.transform(F.split(strip_links(cells[6]), r"\s*(,|&| and )\s*"), lambda x: F.trim(x)),
+        F.filter(F.transform(F.split(strip_links(F.get(cells, 5)), r"\s*(,|&| and )\s*"), lambda x: F.trim(x)),
                  lambda x: x != "").alias("contributors"))
