@@ -215,3 +215,35 @@ def inputs_targets(buffers: DataFrame) -> DataFrame:
 def delimiter_ends(inputs: Column) -> Column:
     """Document ends of an unaligned slice = delimiter positions in inputs."""
     return F.filter(F.transform(inputs, lambda t, i: F.when(t == F.lit(BOS_ID), i)), lambda i: i.isNotNull())
+
+
+def cyclic_loader(sizes: DataFrame, B: int, T: int, n_procs: int, epochs: int, rule: str = "gt_plus1") -> DataFrame:
+    """The older multi-epoch loader: process ``r`` reads ``B*T + 1``
+    tokens at ``r*B*T + k*B*T*P`` of each file, files in name order, cycling.
+
+    Roll-over after a batch at position ``p``: ``rule="gt_plus1"`` leaves the
+    file when ``p + 2*B*T*P + 1 > len``; ``rule="ge"`` when ``p + 2*B*T*P >= len``.
+    The first batch of a file is always taken.  Counts depend on the rank, as
+    in the reference.  Batch numbers per rank come from a prefix sum over
+    (epoch, file) rows, one row per file and rank.
+    """
+    BT = B * T
+    step = BT * n_procs
+    files = sizes.select("shard_id", "shard_stem", "shard_len")
+    ranks = files.sparkSession.range(n_procs).select(F.col("id").cast("int").alias("rank"))
+    ep = files.sparkSession.range(epochs).select(F.col("id").cast("int").alias("epoch"))
+    fr = files.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(ep))
+    base = F.col("shard_len") - F.col("rank") * BT
+    if rule == "gt_plus1":
+        extra = F.floor((base - 1) / step) - 1
+    elif rule == "ge":
+        extra = F.ceil(base / step) - 2
+    else:
+        raise ValueError(f"unknown roll-over rule {rule}")
+    fr = fr.withColumn("n_batches", (F.greatest(extra, F.lit(0)) + 1).cast("long")) \
+        .withColumn("file_ord", (F.col("epoch").cast("long") * 1_000_000 + F.col("shard_id")))
+    fr = prefix_sum(fr, "file_ord", "n_batches", "batch_base", partition_cols=["rank"])
+    out = fr.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_batches") - 1)))
+    start = F.col("rank") * BT + F.col("k") * step
+    return out.select("rank", (F.col("batch_base") + F.col("k")).cast("long").alias("batch_no"), "epoch",
+                      "shard_stem", start.cast("long").alias("start_pos"), (start + BT + 1).cast("long").alias("end_pos"))

@@ -217,3 +217,26 @@ def b16_shard_changes(spark, sf_dir):
         F.min("step").cast("long").alias("first_step"),
         F.min(F.col("step") * GA + F.col("micro")).cast("long").alias("first_call"),
         F.max("step").cast("long").alias("last_step"))
+
+
+LB, LT, LP, LE = 8, 1024, 4, 2
+
+
+@register("b11_cyclic_loader", f"""
+WITH {q.DELIMS},
+f AS (SELECT shard_id, printf('fineweb_%s_%06d', CASE WHEN shard_id = 0 THEN 'val' ELSE 'train' END, shard_id) AS shard_stem,
+             shard_len FROM shard_sizes WHERE shard_id > 0),
+fr AS (SELECT f.*, r.rank::INTEGER AS rank, e.epoch::INTEGER AS epoch,
+              (greatest(floor((shard_len - r.rank * {LB * LT} - 1) / {LB * LT * LP}) - 1, 0) + 1)::BIGINT AS n_batches
+       FROM f, range({LP}) r(rank), range({LE}) e(epoch)),
+fb AS (SELECT *, sum(n_batches) OVER (PARTITION BY rank ORDER BY epoch, shard_id ROWS UNBOUNDED PRECEDING) - n_batches AS batch_base
+       FROM fr),
+k AS (SELECT *, unnest(range(n_batches)) AS k FROM fb)
+SELECT rank, (batch_base + k)::BIGINT AS batch_no, epoch, shard_stem,
+       (rank * {LB * LT} + k * {LB * LT * LP})::BIGINT AS start_pos,
+       (rank * {LB * LT} + k * {LB * LT * LP} + {LB * LT + 1})::BIGINT AS end_pos
+FROM k
+""")
+def b11_cyclic_loader(spark, sf_dir):
+    _, sizes, _ = corpus.index(spark, sf_dir)
+    return pk.cyclic_loader(sizes.where(F.col("shard_id") > 0), LB, LT, LP, LE)
