@@ -37,8 +37,8 @@ def prefix_sum(df: DataFrame, ordinal: str, value: str, out: str,
     """Exclusive (default) running sum of ``value`` in ``ordinal`` order.
 
     ``ordinal`` must be unique inside ``partition_cols``.  The block table has
-    at most ``(max-min)/block_size + 1`` rows per partition key; that bound is
-    computed from one aggregate and decides between broadcast and shuffle join.
+    about ``n / block_size`` rows; its join is broadcast by adaptive execution
+    when its measured size allows, else shuffled.
     """
     parts = list(partition_cols or [])
     blk = "__blk"
@@ -47,14 +47,12 @@ def prefix_sum(df: DataFrame, ordinal: str, value: str, out: str,
     w_blocks = Window.partitionBy(*parts).orderBy(blk).rowsBetween(Window.unboundedPreceding, 0)
     bases = totals.select(*parts, blk,
                           (F.sum("__blk_total").over(w_blocks) - F.col("__blk_total")).alias("__blk_base"))
-    # Size bound of the block table, from one cheap aggregate.
-    bound_row = df.agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi"),
-                       *([F.count_distinct(*parts).alias("np")] if parts else [F.lit(1).alias("np")])).first()
-    if bound_row is None or bound_row["lo"] is None:
-        n_bound = 0
-    else:
-        n_bound = ((bound_row["hi"] - bound_row["lo"]) // block_size + 1) * max(int(bound_row["np"]), 1)
-    joined = with_blk.join(_bounded_broadcast(bases, n_bound), on=parts + [blk], how="inner")
+    # The block table has one row per ``block_size`` rows of input.  No
+    # driver-side bound is taken (that would be a second pass over the
+    # input): adaptive execution measures the materialised block table and
+    # broadcasts it only when it is under the broadcast threshold, otherwise
+    # the join stays a shuffle join.
+    joined = with_blk.join(bases, on=parts + [blk], how="inner")
     w_in = Window.partitionBy(*parts, blk).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(value).over(w_in)
     if not inclusive:

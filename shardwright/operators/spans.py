@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..constants import BOS_ID, HEADER_TOKENS
 from ..functions.encoders import byte_decode_frame
 from .ranges import overlap_join
-from .tokens import with_shard_names
+from .tokens import CHUNK_SIZE, with_shard_names
 
 
 def delimiter_positions(chunks: DataFrame, delimiter: int = BOS_ID) -> DataFrame:
@@ -92,7 +92,7 @@ def scoring_spans(delims: DataFrame) -> DataFrame:
 
 
 def span_tokens(spans: DataFrame, chunks: DataFrame, skip_delimiter: bool = True,
-                key_cols: list[str] | None = None) -> DataFrame:
+                key_cols: list[str] | None = None, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Tokens of every span, re-assembled from the chunks it touches.
 
     Range join done as an equi-join: each span explodes the ids of the chunks
@@ -102,7 +102,7 @@ def span_tokens(spans: DataFrame, chunks: DataFrame, skip_delimiter: bool = True
     ``(pos, piece)`` structs; the group is one span, bounded by its length.
     """
     keys = list(key_cols or ["shard_stem", "start_idx", "end_idx"])
-    chunk_size = chunks.select(F.max(F.size("tokens")).alias("c")).first()["c"] or 1
+    # chunk ids follow from positions: chunk c starts at c * chunk_size
     C = F.lit(int(chunk_size)).cast("long")
     lo = F.col("start_idx") + (1 if skip_delimiter else 0)
     hi = F.col("end_idx")
