@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, url_filter
+from . import best_fit, exact_dedup, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_url_filter", url_filter.oracle())
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_columns(spark, sf_dir, "pages", "page_id", "url"))
+
+
+@register("op6_best_fit")
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
+                             public_tokenizers.path("byte_bpe_50k.json"))
