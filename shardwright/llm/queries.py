@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, url_filter
+from . import best_fit, exact_dedup, mixing, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.best_fit(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
                              public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op9_entropy_mix")
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.entropy_mix(read_columns(spark, sf_dir, "documents", "doc_id", "text", "source"))
