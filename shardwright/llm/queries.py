@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, mixing, url_filter
+from . import best_fit, exact_dedup, mixing, quality, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_entropy_mix")
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.entropy_mix(read_columns(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+@register("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
+                            read_columns(spark, sf_dir, "labels", "doc_id", "quality"))
