@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, mixing, quality, url_filter
+from . import best_fit, exact_dedup, mixing, quality, secrets_scan, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
                             read_columns(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.find_secrets(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
