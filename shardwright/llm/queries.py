@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, mixing, quality, secrets_scan, url_filter
+from . import best_fit, exact_dedup, id_files, mixing, quality, secrets_scan, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_secret_scan")
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.find_secrets(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op10_id_files")
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.write_and_read(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
+                                   public_tokenizers.path("word_bpe_49k.json"), ids_below=49_408)
