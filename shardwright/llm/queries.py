@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, id_files, mixing, quality, secrets_scan, url_filter
+from . import best_fit, exact_dedup, id_files, mixing, near_vectors, quality, secrets_scan, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.write_and_read(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
                                    public_tokenizers.path("word_bpe_49k.json"), ids_below=49_408)
+
+
+@register("op8_near_vectors")
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_dedup(read_columns(spark, sf_dir, "embeddings", "vec_id", "embedding"))
