@@ -89,7 +89,7 @@ def sifted(docs: DataFrame, n_buckets: int) -> DataFrame:
     """``node, seen``: how many of the node's sifting shingles occur in another node."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
+        task = TaskContext.get().partitionId() << 24
         for number, batch in enumerate(batches):
             hashes, owners, known = [], [], set()
             for _, s in shingle_sets(batch.column("text")):
@@ -110,7 +110,7 @@ def sifted(docs: DataFrame, n_buckets: int) -> DataFrame:
             seen_here = many[group]
             # of a shingle that several nodes of the batch hold, one row goes on as a witness
             nodes, seen = np.unique(o[seen_here], return_counts=True)
-            out = [(-1 - part - number, b"", nodes.tobytes(), seen.astype(np.int64).tobytes())]
+            out = [(-1 - task - number, b"", nodes.tobytes(), seen.astype(np.int64).tobytes())]
             h, o, witness = h[fresh], o[fresh], many
             bucket = (h % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((o, bucket))
