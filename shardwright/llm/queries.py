@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, id_files, mixing, near_vectors, ngram_join, quality, secrets_scan, url_filter
+from . import best_fit, exact_dedup, id_files, mixing, near_vectors, ngram_join, quality, secrets_scan, suffix_dedup, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_ngram_jaccard")
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
