@@ -34,12 +34,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, " ")
 
 
-def digest_table(docs: DataFrame, id_col: str, text_col: str, n_runs: int) -> DataFrame:
+def digest_table(docs: DataFrame, id_col: str, text_col: str, n_runs: int, row: Column) -> DataFrame:
     """One row per document: id, row number, run, digest of the normalised text."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"),
+                        row.alias("rid"))
     rows = texts.select(
-        "id", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"),
-        F.xxhash64("norm").alias("check"), F.monotonically_increasing_id().alias("rid"))
+        "id", "rid", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"),
+        F.xxhash64("norm").alias("check"))
     return rows.withColumn("run", F.pmod(F.xxhash64("id", "rid"), F.lit(n_runs)))
 
 
@@ -49,9 +50,10 @@ def _merge(entries: DataFrame, run: Column) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                fan_in: int = 8, rounds: int = 3) -> DataFrame:
-    """``id, keep_id, group_size, kept, text_sha256``: one row per input row."""
-    rows = stage(digest_table(docs, id_col, text_col, fan_in ** rounds), "digests")
+                fan_in: int = 8, rounds: int = 3, row_col: str | None = None) -> DataFrame:
+    """``id, keep_id, group_size, kept, text_sha256`` (and the row number ``row_col``): one row per input row."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = stage(digest_table(docs, id_col, text_col, fan_in ** rounds, row), "digests")
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))
     levels = [_merge(rows.select("run", *DIGEST, first.alias("first"), F.lit(1).cast("long").alias("n")), F.col("run"))]
     for _ in range(rounds):
@@ -65,4 +67,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.withColumnRenamed("run", "up").join(answer, ["up", *DIGEST])
     return out.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"),
-        (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+        (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"),
+        *([F.col("rid").alias(row_col)] if row_col else []))

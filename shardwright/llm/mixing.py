@@ -39,11 +39,11 @@ SALTS = 64
 PER_CLASS = 3
 
 
-def documents_by_size(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def documents_by_size(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"))
+        row.alias("row"))
 
 
 def source_targets(cells: DataFrame, weights: tuple = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -153,9 +153,13 @@ def join_same(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner")
 
 
 def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: tuple = WEIGHTS, most: int = 3, tilt: float = 0.5) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and ``source, rate, copies``: one row per document."""
-    by_doc = stage(documents_by_size(docs, id_col, text_col, source_col), "sizes")
+                weights: tuple = WEIGHTS, most: int = 3, tilt: float = 0.5, row_col: str | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` and ``source, rate, copies``: one row per document.
+
+    With ``row_col`` the documents' own row numbers are used and returned.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    by_doc = stage(documents_by_size(docs, id_col, text_col, source_col, row), "sizes")
     cells = stage(by_doc.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-cells")
     targets = stage(source_targets(cells, weights, float(most)), "targets")
     dual = newton(cells, targets, float(most), tilt)
@@ -172,4 +176,5 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         taken = stage(taken, "copies-closed") if past else taken
     return join_same(taken, targets, "source").select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target",
-        (F.col("size") * F.col("copies")).alias("taken"), F.col("source").alias(source_col), "rate", "copies")
+        (F.col("size") * F.col("copies")).alias("taken"), F.col("source").alias(source_col), "rate", "copies",
+        *([F.col("row").alias(row_col)] if row_col else []))

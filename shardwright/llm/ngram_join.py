@@ -72,17 +72,17 @@ def sift_needed(n: int) -> int:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, node, check``: size and signature of every document's set."""
+    """``doc_id, row, n, node, check``: size and signature of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), *signature(s)) for _, s in shingle_sets(batch.column("text"))]
             n, node, check = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, node, check))],
-                names=["doc_id", "n", "node", "check"])
+                [batch.column("doc_id"), batch.column("row"), *(pa.array(c, pa.int64()) for c in (n, node, check))],
+                names=["doc_id", "row", "n", "node", "check"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, node long, check long")
 
 
 def sifted(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -284,10 +284,14 @@ def joined(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     return found.unionByName(led.select("node", F.col("route").alias("low")))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id``: one row per document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    by_doc = stage(nodes_of(texts), "nodes")
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 row_col: str | None = None) -> DataFrame:
+    """``id, n_shingles, component_id`` (and the row number ``row_col``): one row per document."""
+    numbered = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        (F.col(row_col) if row_col else F.lit(0).cast("long")).alias("row"))
+    texts = numbered.select("doc_id", "text")
+    by_doc = stage(nodes_of(numbered), "nodes")
     nodes = by_doc.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first"))
     total = by_doc.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(1, -(-3 * total // (10 * BUCKET_SHINGLES)))
@@ -302,7 +306,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = nodes.join(roots, "node", "left").select("node", F.coalesce("low", "node").alias("root"), "first")
     smallest = told.groupBy("root").agg(F.min("first").alias("component"))
     named = told.join(smallest, "root").select("node", "component")
-    full = by_doc.filter("n > 0").join(named, "node").select("doc_id", "n", "component")
-    empty = by_doc.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
+    full = by_doc.filter("n > 0").join(named, "node").select("doc_id", "row", "n", "component")
+    empty = by_doc.filter("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component"))
     return full.unionByName(empty).select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        *([F.col("row").alias(row_col)] if row_col else []))

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 1600
@@ -49,9 +49,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     counts = {r["label"]: r["n"] for r in clean.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = docs.select(F.col(id_col).cast("long").alias("id"), F.octet_length(text_col).alias("n")) \
         .filter((F.col("n") > 0) & (F.col("n") <= most_bytes)).select("id").distinct()
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = clean.join(sizes, "id").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows)
-    ids = {r["id"]: (r["label"], r["k"]) for r in chosen.select("id", "label", "k").collect()}
+    able = clean.join(sizes, "id").select("id", "label", F.xxhash64("id").alias("k"))
+    chosen = [able.filter(F.col("label") == y).orderBy("k", "id").limit(rows) for y in (0, 1)]
+    ids = {r["id"]: (r["label"], r["k"]) for r in chosen[0].unionByName(chosen[1]).collect()}
     texts = _texts_of(docs, id_col, text_col, sorted(ids), most_bytes)
     sample = sorted(((*ids[r["id"]], r["text"]) for r in texts.collect()), key=lambda r: (r[1], r[0], r[2]))
     return [(text, label) for label, _, text in sample], counts
@@ -139,9 +139,9 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], size: int = DICTI
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str, out: str = "score") -> DataFrame:
-    """``docs`` without the text, with the calibrated probability of label 1."""
-    kept = [f for f in docs.schema if f.name != text_col]
+def score(docs: DataFrame, model: Model, text_col: str, out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless asked for, with the calibrated probability of label 1."""
+    kept = [f for f in docs.schema if keep_text or f.name != text_col]
     names = [f.name for f in kept]
     weights = np.array(model.weights)
 
@@ -157,8 +157,15 @@ def score(docs: DataFrame, model: Model, text_col: str, out: str = "score") -> D
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
+             label_col: str = "quality") -> DataFrame:
     """``id, held_out, score, predicted``, one row per document."""
     model = fit(*training_sample(docs, labels, id_col, text_col, label_col))
-    rows = docs.select(F.col(id_col), *keep, held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
+    rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
     return score(rows, model, text_col).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             label_col: str = "quality") -> DataFrame:
+    """The documents, with all their columns, that the classifier does not reject."""
+    model = fit(*training_sample(docs, labels, id_col, text_col, label_col))
+    return score(docs, model, text_col, "__score", keep_text=True).filter("__score >= 0.5").drop("__score")
