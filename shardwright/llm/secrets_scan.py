@@ -42,6 +42,7 @@ ASCII = 128
 SYMBOLS = 66
 SMOOTHING = 0.5
 UNIFORM_SHARE = 0.5
+BACK_OFF = 4.0
 
 SPAN = "struct<at:int,kind:int,stop:int,said:string>"
 
@@ -99,16 +100,18 @@ def cells_of(token: Column) -> Column:
 def log_ratios(counts: DataFrame) -> DataFrame:
     """One row: the log likelihood ratio of every character pair, by cell number."""
     cells = counts.sparkSession.range(ASCII * ASCII).withColumnRenamed("id", "cell").join(counts, "cell", "left").select(
-        "cell", F.floor(F.col("cell") / ASCII).alias("first"), F.coalesce("random", F.lit(0)).alias("random"),
-        F.coalesce("ordinary", F.lit(0)).alias("ordinary"))
+        "cell", F.floor(F.col("cell") / ASCII).alias("first"), (F.col("cell") % ASCII).alias("second"),
+        F.coalesce("random", F.lit(0)).alias("random"), F.coalesce("ordinary", F.lit(0)).alias("ordinary"))
     totals = cells.groupBy("first").agg(F.sum("random").alias("randoms"), F.sum("ordinary").alias("ordinaries"))
-
-    def smooth(n: str, total: str) -> Column:
-        return (F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * SYMBOLS)
-
-    drawn = smooth("random", "randoms") * (1 - UNIFORM_SHARE) + F.lit(UNIFORM_SHARE / SYMBOLS)
-    pair = F.struct("cell", F.log(drawn / smooth("ordinary", "ordinaries")).alias("ratio"))
-    return cells.join(totals, "first").agg(F.array_sort(F.collect_list(pair)).alias("pairs")).select(
+    single = cells.groupBy("second").agg(F.sum("ordinary").alias("singles"))
+    everything = cells.agg(F.sum("ordinary").alias("everything")).scalar()
+    drawn = (F.col("random") + SMOOTHING) / (F.col("randoms") + SMOOTHING * SYMBOLS) * (1 - UNIFORM_SHARE) \
+        + F.lit(UNIFORM_SHARE / SYMBOLS)
+    # after a character that identifiers rarely hold, the ordinary model falls back on single characters
+    alone = (F.col("singles") + SMOOTHING) / (everything + SMOOTHING * SYMBOLS)
+    usual = (F.col("ordinary") + BACK_OFF * alone) / (F.col("ordinaries") + BACK_OFF)
+    pair = F.struct("cell", F.log(drawn / usual).alias("ratio"))
+    return cells.join(totals, "first").join(single, "second").agg(F.sort_array(F.collect_list(pair)).alias("pairs")).select(
         F.col("pairs.ratio").alias("ratios"))
 
 
