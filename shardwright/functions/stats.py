@@ -1,14 +1,17 @@
 """Distribution functions for significance tests (no scipy on the cluster).
 
 Used only on aggregated rows (one row per run group), through Arrow-batched
-pandas UDFs.  Regularised incomplete beta and gamma by continued fraction
-and series (Numerical Recipes / Abramowitz-Stegun forms); quantiles by
-bisection on the CDF.
+pandas UDFs.  The regularised incomplete beta and gamma functions come from
+the series and continued fractions of the Digital Library of Mathematical
+Functions (8.17.22, 8.11.4, 8.9.2), evaluated until they no longer change;
+quantiles by bisection in a bracket that grows until it holds the answer.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -16,41 +19,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MOST_TERMS = 5_000_000
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return h
+
+def _fraction(terms: Iterable[tuple[float, float]]) -> float:
+    """Continued fraction a1/(b1 + a2/(b2 + ...)) from its (a, b), forwards by ratios of successive convergents."""
+    value, up, down = 1.0, math.inf, 0.0
+    for k, (a, b) in enumerate(itertools.islice(terms, MOST_TERMS)):
+        if k == 0:
+            down, up, value = 1.0 / b, math.inf, a / b
+            continue
+        down = 1.0 / ((b + a * down) or 1e-300)
+        up = (b + a / up) or 1e-300
+        step = up * down
+        value *= step
+        if abs(step - 1.0) < 1e-15:
+            return value
+    raise ArithmeticError("a continued fraction has not settled")
+
+
+def _beta_terms(a: float, b: float, x: float) -> Iterable[tuple[float, float]]:
+    yield 1.0, 1.0
+    for k in itertools.count(0):
+        yield -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1)), 1.0
+        m = k + 1
+        yield m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
 
 
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1.0) / (a + b + 2.0):  # where the fraction converges fast for the mirrored arguments
+        return 1.0 - betainc(b, a, 1.0 - x)
+    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(log_front) / a * _fraction(_beta_terms(a, b, x))
 
 
 def t_cdf(t: float, df: float) -> float:
@@ -63,65 +66,55 @@ def t_cdf(t: float, df: float) -> float:
     return 1.0 - tail if t > 0 else tail
 
 
+def _quantile(cdf: Callable[[float], float], q: float, low: float, high: float) -> float:
+    """Bisection; the ends move outwards until the answer lies between them."""
+    while cdf(high) < q:
+        high *= 2.0
+    while low < 0.0 and cdf(low) > q:
+        low *= 2.0
+    while True:
+        middle = 0.5 * (low + high)
+        if middle in (low, high):
+            return middle
+        low, high = (middle, high) if cdf(middle) < q else (low, middle)
+
+
 def t_ppf(q: float, df: float) -> float:
-    """Quantile of Student's t by bisection."""
+    """Quantile of Student's t."""
     if not (0.0 < q < 1.0) or df <= 0:
         return float("nan")
-    lo, hi = -1e3, 1e3
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        if t_cdf(mid, df) < q:
-            lo = mid
-        else:
-            hi = mid
-    return 0.5 * (lo + hi)
+    if q == 0.5:
+        return 0.0
+    # the small tail is the exact one
+    return _quantile(lambda t: t_cdf(t, df), q, -1.0, 0.0) if q < 0.5 else -t_ppf(1.0 - q, df)
+
+
+def _gamma_terms(a: float, x: float) -> Iterable[tuple[float, float]]:
+    yield 1.0, x + 1.0 - a
+    for k in itertools.count(1):
+        yield k * (a - k), x + 2 * k + 1.0 - a
 
 
 def gammainc(a: float, x: float) -> float:
     """Regularised lower incomplete gamma P(a, x)."""
     if x <= 0:
         return 0.0
-    gln = math.lgamma(a)
-    if x < a + 1.0:
-        ap, s = a, 1.0 / a
-        d = s
-        for _ in range(1000):
-            ap += 1.0
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * 1e-16:
-                break
-        return s * math.exp(-x + a * math.log(x) - gln)
-    tiny = 1e-300
-    b = x + 1.0 - a
-    c = 1.0 / tiny
-    d = 1.0 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = b + an / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-16:
-            break
-    return 1.0 - math.exp(-x + a * math.log(x) - gln) * h
+    log_front = a * math.log(x) - x - math.lgamma(a)
+    if x >= a + 1.0:
+        return 1.0 - math.exp(log_front) * _fraction(_gamma_terms(a, x))
+    term = total = 1.0 / a
+    for k in range(1, MOST_TERMS):
+        term *= x / (a + k)
+        total += term
+        if term < total * 1e-17:
+            return total * math.exp(log_front)
+    raise ArithmeticError("a series has not settled")
 
 
 def chi2_ppf(q: float, df: float) -> float:
     if not (0.0 < q < 1.0) or df <= 0:
         return float("nan")
-    lo, hi = 0.0, max(10.0, df * 10 + 100)
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        if gammainc(df / 2.0, mid / 2.0) < q:
-            lo = mid
-        else:
-            hi = mid
-    return 0.5 * (lo + hi)
+    return _quantile(lambda x: gammainc(df / 2.0, x / 2.0), q, 0.0, df + 10.0)
 
 
 def _vec(fn, *arrs):
