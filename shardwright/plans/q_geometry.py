@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import SCORE_SEQ_LEN
 from ..operators import geometry as geo
 from ..operators.selection import uniform_score
 from ..registry import register
 from ..sources.tables import read_table
 
-LIMIT = 50   # vectors per document in place of 300 (documents here hold 44-59)
+DOCUMENT = 320  # vectors a document holds; the scores read the first 300
+LIMIT = SCORE_SEQ_LEN
+DIMENSIONS = 64
 
 VECS = f"""
-v AS (SELECT label::VARCHAR AS doc_key, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS pos,
-             embedding FROM embeddings),
+v AS (SELECT (vec_id // {DOCUMENT})::VARCHAR AS doc_key, (vec_id % {DOCUMENT})::INTEGER AS pos, embedding FROM embeddings),
 vt AS (SELECT * FROM v WHERE pos < {LIMIT})"""
 
 
 def vectors(spark, sf_dir):
-    return geo.vectors_from_embeddings(read_table(spark, sf_dir, "embeddings"))
+    return geo.vectors_from_embeddings(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), DOCUMENT)
 
 
 @register("g1_seq_lengths", f"""
@@ -36,8 +38,8 @@ FROM (SELECT doc_key, unnest(embedding) AS x FROM vt) GROUP BY doc_key
 """)
 def g2_g4_energy(spark, sf_dir):
     # sum of squared singular values and of the projection's squared norms
-    # both equal the squared Frobenius norm (k = rank here)
-    return geo.document_metrics(vectors(spark, sf_dir), LIMIT).select("doc_key", "sq_singular", "proj_sq_norm")
+    # both equal the squared Frobenius norm when all dimensions are kept
+    return geo.document_metrics(vectors(spark, sf_dir), LIMIT, DIMENSIONS).select("doc_key", "sq_singular", "proj_sq_norm")
 
 
 @register("g7_twonn_ratios", f"""
