@@ -16,22 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import LABEL_CONCURRENCY, LABEL_MAX_RETRIES, PATTERNS
+from ..constants import LABEL_CONCURRENCY, LABEL_MAX_RETRIES, PATTERN_FIELDS, PATTERN_NAMES
+from ..sources import files
 
-PATTERN_NAMES = [n for n, _ in PATTERNS]
 
-
-def to_field(name: str) -> str:
-    """C3 in Python: lower case, runs of non-alphanumerics to ``_``, stripped."""
-    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
-
-
-def to_field_col(name: Column) -> Column:
-    """C3 as a column expression."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-
-
-PATTERN_FIELDS = [to_field(n) for n in PATTERN_NAMES]
+def to_field(name: Column) -> Column:
+    """Column name of a pattern name."""
+    words = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_join(words, "_")
 
 
 def work_list(extremes: DataFrame, texts: DataFrame, done: DataFrame | None) -> DataFrame:
@@ -98,11 +90,9 @@ def rule_classifier(text: str) -> dict:
 def append_new(labels: DataFrame, path: str, keys=("metric_name", "best_or_worst", "num")) -> int:
     """Append only rows whose key is not in the table at ``path``."""
     spark = labels.sparkSession
-    try:
-        done = spark.read.parquet(path).select(*keys)
-        new = labels.join(done, list(keys), "left_anti")
-    except Exception:  # no table yet
-        new = labels
+    new = labels
+    if files.exists(spark, path):  # a table that cannot be read raises
+        new = labels.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
     new = new.cache()
     n = new.count()
     if n:

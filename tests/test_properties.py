@@ -43,10 +43,9 @@ def test_shards_partition_the_stream(spark):
     assert sorted(p.shard_id for p in pieces if p.doc_ord == 2) == [1, 2, 3]
 
 
-def test_pattern_fields():
-    assert lb.to_field("Named-Entity Flood") == "named_entity_flood"
-    assert lb.to_field("List-like Structure") == "list_like_structure"
-    assert len(set(lb.PATTERN_FIELDS)) == 10
+def test_pattern_fields(spark):
+    names = spark.createDataFrame([(n,) for n in lb.PATTERN_NAMES], "name string")
+    assert [r[0] for r in names.select(lb.to_field(F.col("name"))).collect()] == lb.PATTERN_FIELDS
 
 
 def test_classifier_retries_then_fails(spark):
