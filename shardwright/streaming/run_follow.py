@@ -52,15 +52,20 @@ def follow(lines: DataFrame, target: float, penalty: float = 999999.0) -> DataFr
         _update(target, penalty), OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, log_dir: str, checkpoint: str, out_path: str, target: float) -> DataFrame:
-    """Process every file now in ``log_dir`` (availableNow trigger), keep the
-    latest state row per run in ``out_path`` and return it as a batch frame."""
-    lines = spark.readStream.format("text").load(log_dir).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("run_id"), "value")
+def run_available(spark: SparkSession, log_dir: str, checkpoint: str, out_path: str, target: float,
+                  run_pattern: str = r"([^/]+?)(\.[^./]*)?$", files_per_trigger: int = 1000) -> DataFrame:
+    """Process every file now in ``log_dir`` (availableNow trigger, ``files_per_trigger`` files a micro-batch) and
+    return the latest state row per run as a batch frame.
+
+    A micro-batch owns the folder of its number under ``out_path`` and overwrites it, so one that is run again
+    after a failure leaves no row twice.
+    """
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(log_dir).select(
+        F.regexp_extract(F.input_file_name(), run_pattern, 1).alias("run_id"), "value")
     result = follow(lines, target)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = result.writeStream.outputMode("update").foreachBatch(sink) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
