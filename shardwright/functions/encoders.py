@@ -94,6 +94,8 @@ def byte_tokenize_frame(df, text_col: str = "text", out_col: str = "tokens", dro
             vals = data[offs[0]:offs[-1]].astype(np.int32)
             rel = offs - offs[0]
             toks = np.insert(vals, rel[:-1], BOS_ID)
+            if len(toks) > np.iinfo(np.int32).max:
+                raise ValueError(f"a batch of {len(toks)} tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
             new_offs = (rel + np.arange(n + 1)).astype(np.int32)
             cols = [b.column(b.schema.get_field_index(c)) for c in keep_names]
             cols.append(pa.ListArray.from_arrays(pa.array(new_offs, pa.int32()), pa.array(toks, pa.int32())))
@@ -105,7 +107,8 @@ def byte_tokenize_frame(df, text_col: str = "text", out_col: str = "tokens", dro
 def byte_decode_frame(df, tokens_col: str = "tokens", out_col: str = "text", drop_tokens: bool = True):
     """Byte decoder over whole Arrow batches: the token list's values are the
     bytes and its offsets the borders.  A row that is not valid UTF-8 (a
-    span cut inside a character) becomes null, never an altered text."""
+    span cut inside a character) or holds an id that is no byte becomes null,
+    never an altered text."""
     import numpy as np
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -120,7 +123,8 @@ def byte_decode_frame(df, tokens_col: str = "tokens", out_col: str = "text", dro
             n = len(lst)
             offs = np.asarray(lst.offsets, dtype=np.int64)
             vals = np.asarray(lst.values.fill_null(0), dtype=np.int64) if len(lst.values) else np.zeros(0, np.int64)
-            raw = vals[offs[0]:offs[-1]].astype(np.uint8).tobytes()
+            vals = vals[offs[0]:offs[-1]]
+            raw = vals.astype(np.uint8).tobytes()
             rel = (offs - offs[0]).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(rel.tobytes()), pa.py_buffer(raw)])
             try:
@@ -133,8 +137,11 @@ def byte_decode_frame(df, tokens_col: str = "tokens", out_col: str = "text", dro
                     except UnicodeDecodeError:
                         out.append(None)
                 text = pa.array(out, pa.string())
-            if lst.null_count:
-                text = pa.compute.if_else(lst.is_null(), pa.scalar(None, pa.string()), text)
+            odd = np.searchsorted(rel, np.flatnonzero((vals < 0) | (vals > 255)), "right") - 1
+            no_text = np.asarray(lst.is_null()).copy()
+            no_text[odd] = True
+            if no_text.any():
+                text = pa.compute.if_else(pa.array(no_text), pa.scalar(None, pa.string()), text)
             cols = [b.column(b.schema.get_field_index(c)) for c in keep_names]
             yield pa.RecordBatch.from_arrays(cols + [text], names=keep_names + [out_col])
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import BOS_ID, EVAL_DOC_LEN_MIN_AVERAGE, EVAL_PAD_ID
+from ..constants import EVAL_DOC_LEN_MIN_AVERAGE
 from .ordering import global_row_number
 
 SHUFFLE_MUL = 2654435761  # Knuth's multiplicative hash constant
@@ -101,10 +101,14 @@ def ending_spans(packed: DataFrame) -> DataFrame:
 def doc_end_positions(spans: DataFrame, seq_len: int) -> DataFrame:
     """E5: ``[0, sep+1 ..., seq_len ...]`` with separator positions (one
     before every ending that is not the first of its sequence), padded to
-    ``((seq_len // 70) // 128 + 1) * 128``."""
+    ``((seq_len // 70) // 128 + 1) * 128``; more separators than that raise."""
     max_docs = ((seq_len // EVAL_DOC_LEN_MIN_AVERAGE) // 128 + 1) * 128
     ends = spans.where(F.col("piece_start") > 0).select("rank", "seq_no", F.col("piece_start").alias("e"))
     per = ends.groupBy("rank", "seq_no").agg(F.array_sort(F.collect_list("e")).alias("ends"))
+    fits = F.size("ends") < max_docs
+    per = per.withColumn("ends", F.when(fits, F.col("ends")).otherwise(F.raise_error(F.concat(
+        F.lit("a sequence has "), F.size("ends").cast("string"), F.lit(f" separators, the capacity is {max_docs - 1}")))
+        .cast("array<bigint>")))
     padded = F.concat(F.array(F.lit(0).cast("long")), F.col("ends"),
                       F.array_repeat(F.lit(seq_len).cast("long"), (F.lit(max_docs - 1) - F.size("ends")).cast("int")))
     return per.select("rank", "seq_no", F.size("ends").cast("int").alias("n_separators"), padded.alias("doc_end_positions"))
@@ -134,14 +138,21 @@ def accuracy(scored: DataFrame) -> DataFrame:
 def validation_loss(token_loss: DataFrame, batch_size: int, world_size: int) -> DataFrame:
     """Per-token losses at stream positions ``pos``; batches of
     ``batch_size`` tokens split over ranks; mean per (batch, rank), mean over
-    batches, mean over ranks.  Only whole batches count."""
+    batches, mean over ranks.  The stream must be whole batches: one that is
+    not raises, since its last ranks would have fewer tokens than the others."""
+    if batch_size % world_size:
+        raise ValueError(f"batch size {batch_size} is not divisible by {world_size} ranks")
     n_local = batch_size // world_size
     t = token_loss.select((F.floor(F.col("pos") / batch_size)).alias("batch"),
                           (F.floor(F.pmod(F.col("pos"), F.lit(batch_size)) / n_local)).alias("rank"), "loss")
-    per = t.groupBy("batch", "rank").agg(F.avg("loss").alias("l"), F.count(F.lit(1)).alias("n")) \
-        .where(F.col("n") == n_local)
+    whole = F.count(F.lit(1)) == n_local
+    per = t.groupBy("batch", "rank").agg(F.when(whole, F.avg("loss")).otherwise(
+        F.raise_error(F.lit(f"a batch holds less than {batch_size} tokens")).cast("double")).alias("l"))
     per_rank = per.groupBy("rank").agg(F.avg("l").alias("l"), F.count(F.lit(1)).alias("n_batches"))
-    return per_rank.agg(F.avg("l").alias("val_loss"), F.max("n_batches").cast("long").alias("n_batches"))
+    alike = (F.min("n_batches") == F.max("n_batches")) & (F.count(F.lit(1)) == world_size)
+    return per_rank.agg(
+        F.avg("l").alias("val_loss"), F.when(alike, F.max("n_batches")).otherwise(
+            F.raise_error(F.lit(f"a batch holds less than {batch_size} tokens")).cast("long")).alias("n_batches"))
 
 
 def weighted_loss(pos: Column, loss: Column, weights: list[float]) -> Column:

@@ -223,16 +223,20 @@ def cyclic_loader(sizes: DataFrame, B: int, T: int, n_procs: int, epochs: int, r
 
     Roll-over after a batch at position ``p``: ``rule="gt_plus1"`` leaves the
     file when ``p + 2*B*T*P + 1 > len``; ``rule="ge"`` when ``p + 2*B*T*P >= len``.
-    The first batch of a file is always taken.  Counts depend on the rank, as
-    in the reference.  Batch numbers per rank come from a prefix sum over
-    (epoch, file) rows, one row per file and rank.
+    A file must hold a batch of every process, ``B*T*P + 1`` tokens; a shorter
+    one raises.  Counts depend on the rank, as in the reference.  Batch numbers
+    per rank come from a prefix sum over the files of one epoch; the epochs
+    before add the same number of batches each, so any shard id will do.
     """
     BT = B * T
     step = BT * n_procs
-    files = sizes.select("shard_id", "shard_stem", "shard_len")
+    enough = F.col("shard_len") >= step + 1
+    too_short = F.raise_error(F.concat(F.col("shard_stem"), F.lit(f" holds less than {step + 1} tokens")))
+    files = sizes.select("shard_id", "shard_stem", F.when(enough, F.col("shard_len")).otherwise(
+        too_short.cast("long")).alias("shard_len"))
     ranks = files.sparkSession.range(n_procs).select(F.col("id").cast("int").alias("rank"))
     ep = files.sparkSession.range(epochs).select(F.col("id").cast("int").alias("epoch"))
-    fr = files.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(ep))
+    fr = files.crossJoin(F.broadcast(ranks))
     base = F.col("shard_len") - F.col("rank") * BT
     if rule == "gt_plus1":
         extra = F.floor((base - 1) / step) - 1
@@ -240,9 +244,11 @@ def cyclic_loader(sizes: DataFrame, B: int, T: int, n_procs: int, epochs: int, r
         extra = F.ceil(base / step) - 2
     else:
         raise ValueError(f"unknown roll-over rule {rule}")
-    fr = fr.withColumn("n_batches", (F.greatest(extra, F.lit(0)) + 1).cast("long")) \
-        .withColumn("file_ord", (F.col("epoch").cast("long") * 1_000_000 + F.col("shard_id")))
-    fr = prefix_sum(fr, "file_ord", "n_batches", "batch_base", partition_cols=["rank"])
+    fr = fr.withColumn("n_batches", (F.greatest(extra, F.lit(0)) + 1).cast("long"))
+    an_epoch = fr.groupBy("rank").agg(F.sum("n_batches").alias("epoch_batches"))
+    fr = prefix_sum(fr, "shard_id", "n_batches", "batch_base", partition_cols=["rank"])
+    fr = fr.join(an_epoch, "rank").crossJoin(F.broadcast(ep)).withColumn(
+        "batch_base", F.col("batch_base") + F.col("epoch") * F.col("epoch_batches"))
     out = fr.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_batches") - 1)))
     start = F.col("rank") * BT + F.col("k") * step
     return out.select("rank", (F.col("batch_base") + F.col("k")).cast("long").alias("batch_no"), "epoch",

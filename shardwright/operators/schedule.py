@@ -85,9 +85,9 @@ def transition_steps(bounds: DataFrame) -> DataFrame:
         .select("transition", (F.col("transition") + F.col("d")).alias("step")).distinct()
 
 
-def split_step(bounds: DataFrame, split_stage: int = 2) -> Column:
-    """H7: first step of ``split_stage`` made odd (``| 1``)."""
-    return F.col("start_step").bitwiseOR(F.lit(1))
+def split_step(split_stage: int = 2) -> Column:
+    """H7: first step of ``split_stage`` made odd (``| 1``); null for the other stages."""
+    return F.when(F.col("idx") == split_stage, F.col("start_step").bitwiseOR(F.lit(1)))
 
 
 def tokens_consumed(steps: DataFrame, bounds: DataFrame, step_col: str = "step") -> DataFrame:

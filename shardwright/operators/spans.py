@@ -112,7 +112,9 @@ def span_tokens(spans: DataFrame, chunks: DataFrame, skip_delimiter: bool = True
     s = s.withColumn("chunk_id", F.explode(F.sequence(
         F.floor(F.col("__lo") / C), F.floor((F.col("__hi") - 1) / C)))) \
         .withColumn("chunk_id", F.col("chunk_id").cast("int"))
-    c = chunks.select("shard_stem", "chunk_id", "start_pos", "tokens")
+    aligned = F.col("start_pos") == F.col("chunk_id") * C
+    c = chunks.select("shard_stem", "chunk_id", F.when(aligned, F.col("start_pos")).otherwise(F.raise_error(
+        F.lit(f"chunks are not of {int(chunk_size)} tokens")).cast("long")).alias("start_pos"), "tokens")
     j = s.join(c, ["shard_stem", "chunk_id"])
     a = F.greatest(F.col("__lo"), F.col("start_pos"))
     b = F.least(F.col("__hi"), F.col("start_pos") + F.size("tokens"))
@@ -127,9 +129,10 @@ def span_tokens(spans: DataFrame, chunks: DataFrame, skip_delimiter: bool = True
     return out.unionByName(empty)
 
 
-def decode_spans(spans: DataFrame, chunks: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
-    """Text of every span, delimiter skipped (byte decoder in the JVM)."""
-    toks = span_tokens(spans, chunks, skip_delimiter=True, key_cols=key_cols)
+def decode_spans(spans: DataFrame, chunks: DataFrame, key_cols: list[str] | None = None,
+                 chunk_size: int = CHUNK_SIZE) -> DataFrame:
+    """Text of every span, delimiter skipped (byte decoder over Arrow batches)."""
+    toks = span_tokens(spans, chunks, skip_delimiter=True, key_cols=key_cols, chunk_size=chunk_size)
     return byte_decode_frame(toks)
 
 
@@ -218,11 +221,9 @@ def block_pairs(blocks: DataFrame, slice_keys: list[str], window_blocks: int | N
 
 
 def block_mask_counts(pairs: DataFrame, slice_keys: list[str], window_blocks: int | None = None) -> DataFrame:
-    """D10 counts per q block, nearest kv first; with ``window_blocks`` the
+    """D10 counts per q block; with ``window_blocks`` the
     caps of the medium-track variant: full <= w-1, partial <= max(w-full, 1)."""
-    w = Window.partitionBy(*slice_keys, "q_blk", "is_full").orderBy(F.col("kv_blk").desc())
-    ranked = pairs.withColumn("__r", F.row_number().over(w))
-    agg = ranked.groupBy(*slice_keys, "q_blk").agg(
+    agg = pairs.groupBy(*slice_keys, "q_blk").agg(
         F.count_if(F.col("is_full")).cast("long").alias("n_full"),
         F.count_if(~F.col("is_full")).cast("long").alias("n_partial"))
     if window_blocks is None:

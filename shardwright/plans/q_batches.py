@@ -225,7 +225,7 @@ LB, LT, LP, LE = 8, 1024, 4, 2
 @register("b11_cyclic_loader", f"""
 WITH {q.DELIMS},
 f AS (SELECT shard_id, printf('fineweb_%s_%06d', CASE WHEN shard_id = 0 THEN 'val' ELSE 'train' END, shard_id) AS shard_stem,
-             shard_len FROM shard_sizes WHERE shard_id > 0),
+             shard_len FROM shard_sizes WHERE shard_id > 0 AND shard_len > {LB * LT * LP}),
 fr AS (SELECT f.*, r.rank::INTEGER AS rank, e.epoch::INTEGER AS epoch,
               (greatest(floor((shard_len - r.rank * {LB * LT} - 1) / {LB * LT * LP}) - 1, 0) + 1)::BIGINT AS n_batches
        FROM f, range({LP}) r(rank), range({LE}) e(epoch)),
@@ -239,4 +239,6 @@ FROM k
 """)
 def b11_cyclic_loader(spark, sf_dir):
     _, sizes, _ = corpus.index(spark, sf_dir)
-    return pk.cyclic_loader(sizes.where(F.col("shard_id") > 0), LB, LT, LP, LE)
+    # a shard too short for one batch of every process is refused by the loader
+    able = sizes.where((F.col("shard_id") > 0) & (F.col("shard_len") > LB * LT * LP))
+    return pk.cyclic_loader(able, LB, LT, LP, LE)

@@ -150,18 +150,22 @@ VAL_WORLD = 8
 @register("e8_validation_loss", f"""
 WITH
 sizes AS (SELECT sum(strlen(text) + 1) AS total FROM documents),
-pos AS (SELECT unnest(range(least(250000, (SELECT total FROM sizes))::BIGINT)) AS pos),
+pos AS (SELECT unnest(range((least(250000, (SELECT total FROM sizes)) // {VAL_BATCH} * {VAL_BATCH})::BIGINT)) AS pos),
 t AS (SELECT pos // {VAL_BATCH} AS batch, (pos % {VAL_BATCH}) // {VAL_BATCH // VAL_WORLD} AS rank,
              ((pos * 7919) % 1000) / 1000.0 AS loss FROM pos),
-per AS (SELECT batch, rank, avg(loss) AS l, count(*) AS n FROM t GROUP BY batch, rank HAVING count(*) = {VAL_BATCH // VAL_WORLD}),
+per AS (SELECT batch, rank, avg(loss) AS l, count(*) AS n FROM t GROUP BY batch, rank),
 pr AS (SELECT rank, avg(l) AS l, count(*) AS nb FROM per GROUP BY rank)
 SELECT avg(l) AS val_loss, max(nb)::BIGINT AS n_batches, -avg(l) * (max(nb) * {VAL_BATCH}) AS log_prob_bound FROM pr
 """.replace("WITH \nsizes", "WITH sizes"))
 def e8_validation_loss(spark, sf_dir):
     # val stream = shard 0; every position's token loss by the fixed formula
     _, sizes, _ = corpus.index(spark, sf_dir)
-    val = sizes.where(F.col("shard_id") == 0)
-    pos = val.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("shard_len") - 1)).alias("pos"))
+    whole = F.floor(F.col("shard_len") / VAL_BATCH) * VAL_BATCH  # whole batches only
+    val = sizes.where(F.col("shard_id") == 0).withColumn("whole", whole).where("whole > 0")
+    # one row per batch before its positions, so that no task expands the shard alone
+    batches = val.select(F.explode(F.sequence(F.lit(0).cast("long"), (F.col("whole") / VAL_BATCH).cast("long") - 1)).alias("batch"))
+    pos = batches.repartition("batch").select(F.explode(F.sequence(
+        F.col("batch") * VAL_BATCH, (F.col("batch") + 1) * VAL_BATCH - 1)).alias("pos"))
     tl = pos.withColumn("loss", F.pmod(F.col("pos") * 7919, F.lit(1000)) / 1000.0)
     out = ev.validation_loss(tl, VAL_BATCH, VAL_WORLD)
     return out.withColumn("log_prob_bound", ev.log_prob_bound(F.col("val_loss"), F.col("n_batches") * VAL_BATCH))

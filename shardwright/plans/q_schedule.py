@@ -71,7 +71,7 @@ FROM st s LEFT JOIN tr ON tr.step = s.step
 def h7_transition_steps(spark, sf_dir):
     bounds = sc.stage_bounds(sc.stage_table(spark))
     tr = F.broadcast(sc.transition_steps(bounds).select("step").distinct().withColumn("near", F.lit(True)))
-    split = bounds.where(F.col("idx") == 2).select(sc.split_step(bounds).alias("split")).first()["split"]
+    split = bounds.select(sc.split_step().alias("split")).where("split IS NOT NULL").first()["split"]
     return steps(spark, sf_dir).join(tr, "step", "left").select(
         "step", F.coalesce(F.col("near"), F.lit(False)).alias("near_transition"),
         (F.col("step") == F.lit(split)).alias("split_step"))

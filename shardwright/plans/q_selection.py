@@ -134,18 +134,20 @@ def x5_file_offsets(spark, sf_dir):
 
 
 EXTREMES = METRICS + f""",
+kept_long AS (UNPIVOT (SELECT * EXCLUDE (has_enough_tokens) FROM kept) ON {", ".join(METRIC_COLUMNS)} INTO NAME metric VALUE value),
 ext AS (
   SELECT metric, 'best' AS best_or_worst, row_number() OVER (PARTITION BY metric ORDER BY value DESC, shard_stem DESC, start_idx DESC) AS num,
-         shard_stem, start_idx, end_idx, value FROM long WHERE NOT isnan(value)
+         shard_stem, start_idx, end_idx, value FROM kept_long WHERE NOT isnan(value)
   UNION ALL
   SELECT metric, 'worst', row_number() OVER (PARTITION BY metric ORDER BY value ASC, shard_stem ASC, start_idx ASC),
-         shard_stem, start_idx, end_idx, value FROM long WHERE NOT isnan(value)),
+         shard_stem, start_idx, end_idx, value FROM kept_long WHERE NOT isnan(value)),
 extremes AS (SELECT * FROM ext WHERE num <= {TOP_N})"""
 
 
 def extremes_query(spark, sf_dir, n=TOP_N):
-    t = _trimmed(spark, sf_dir).drop("input_ord", "has_enough_tokens")
-    return sel.extremes(sel.long_form(t), n)
+    # of every document with enough tokens: extremes are not trimmed to whole selection files
+    kept, _ = sel.keep_enough_tokens(metrics_standin(spark, sf_dir))
+    return sel.extremes(sel.long_form(kept.drop("has_enough_tokens")), n)
 
 
 @register("x6_extremes", f"""

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: trainer log line formats
-VAL_LINE = r"^step:(\d+)/(\d+) val_loss:([0-9.]+) train_time:(\d+)ms step_avg:([0-9.]+)ms"
-TRAIN_LINE = r"^step:(\d+)/(\d+) (?:train_loss:([0-9.]+) )?train_time:(\d+)ms step_avg:([0-9.]+)ms"
-COMPACT_LINE = r"^s:(\d+) tel:([0-9.]+)"
+NUMBER = r"([0-9.]+|nan|-?inf)"  # a diverged run logs nan or inf
+VAL_LINE = rf"^step:(\d+)/(\d+) val_loss:{NUMBER} train_time:(\d+)ms step_avg:{NUMBER}ms"
+TRAIN_LINE = rf"^step:(\d+)/(\d+) (?:train_loss:{NUMBER} )?train_time:(\d+)ms step_avg:{NUMBER}ms"
+COMPACT_LINE = rf"^s:(\d+) tel:{NUMBER}"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -43,12 +43,12 @@ def read_header(path: str) -> np.ndarray:
 def check_header(path: str) -> int:
     h = read_header(path)
     if len(h) < 3 or h[0] != SHARD_MAGIC:
-        raise ValueError(f"magic number mismatch in {path}")
+        raise ValueError(f"{path}: header starts with {h[:1].tolist()}, expected {SHARD_MAGIC}")
     if h[1] != SHARD_VERSION:
-        raise ValueError(f"unsupported version in {path}")
+        raise ValueError(f"{path}: version {h[1]}, expected {SHARD_VERSION}")
     n = int(h[2])
     if os.path.getsize(path) != HEADER_BYTES + 2 * n:
-        raise ValueError(f"number of tokens read does not match header in {path}")
+        raise ValueError(f"{path}: {os.path.getsize(path)} bytes, expected {HEADER_BYTES + 2 * n} for {n} ids")
     return n
 
 
@@ -72,7 +72,7 @@ class TokenBinReader(DataSourceReader):
     def partitions(self):
         files = sorted(glob.glob(self.pattern))
         if not files:
-            raise FileNotFoundError(f"No files found for pattern: {self.pattern}")
+            raise FileNotFoundError(f"{self.pattern} matches no file; expected one or more shard files")
         if self.header_only:
             return [_Part(f, 0, 0) for f in files]
         parts = []
@@ -124,7 +124,7 @@ class TokenBinWriter(DataSourceWriter):
         def close():
             if fh is not None:
                 if count >= 2 ** 31:
-                    raise ValueError("token count must be < 2**31")
+                    raise ValueError(f"shard {cur} has {count} ids; the header's count is a signed 32-bit integer")
                 fh.seek(0)
                 header = np.zeros(HEADER_INTS, dtype="<i4")
                 header[0], header[1], header[2] = SHARD_MAGIC, SHARD_VERSION, count
@@ -132,26 +132,44 @@ class TokenBinWriter(DataSourceWriter):
                 fh.close()
                 done.append((tmp, os.path.join(self.dir, cur + ".bin")))
 
-        for row in rows:
-            stem = row["shard_stem"]
-            if stem != cur:
-                close()
-                cur, count = stem, 0
-                tmp = os.path.join(self.dir, f".{stem}.bin.{uuid.uuid4().hex}.tmp")
-                fh = open(tmp, "wb")
-                fh.write(b"\0" * HEADER_BYTES)
-            arr = np.asarray(row["tokens"], dtype=np.int64)
-            if arr.size and (arr.min() < 0 or arr.max() >= TOKEN_LIMIT):
-                raise ValueError("token dictionary too large for uint16")
-            fh.write(arr.astype("<u2").tobytes())
-            count += int(arr.size)
-        close()
+        try:
+            for row in rows:
+                stem = row["shard_stem"]
+                if stem != cur:
+                    close()
+                    cur, count = stem, 0
+                    tmp = os.path.join(self.dir, f".{stem}.bin.{uuid.uuid4().hex}.tmp")
+                    fh = open(tmp, "wb")
+                    fh.write(b"\0" * HEADER_BYTES)
+                count += self._append(fh, stem, row["tokens"])
+            close()
+        except BaseException:  # a failed attempt leaves no file behind
+            if fh is not None:
+                fh.close()
+            for path in [p for p, _ in done] + [tmp] * (tmp is not None):
+                if os.path.exists(path):
+                    os.remove(path)
+            raise
         return _Written(done)
 
+    @staticmethod
+    def _append(fh, stem: str, tokens) -> int:
+        arr = np.asarray(tokens, dtype=np.int64)
+        if arr.size and (arr.min() < 0 or arr.max() >= TOKEN_LIMIT):
+            raise ValueError(f"shard {stem} holds ids from {arr.min()} to {arr.max()}; a file stores 16 bits each")
+        fh.write(arr.astype("<u2").tobytes())
+        return int(arr.size)
+
     def commit(self, messages):
+        written = set()
         for m in messages:
             for tmp, final in (m.files if m else []):
                 os.replace(tmp, final)
+                written.add(final)
+        if self.overwrite:  # the folder then holds this job's shards only
+            for path in glob.glob(os.path.join(self.dir, "*.bin")):
+                if path not in written:
+                    os.remove(path)
 
     def abort(self, messages):
         for m in messages:

@@ -99,5 +99,6 @@ def test_block_document_ranges(spark):
     assert [r.doc_high for r in b] == [1, 2, 2, 2, 3, 4]
 
 
-def test_retiming():
-    assert round(104.9 - (104.062 - 98.43), 1) == 99.3
+def test_retiming(spark):
+    row = spark.createDataFrame([(104.9, 104.062, 98.43)], "official double, prior double, new double")
+    assert round(row.select(rn.retime(F.col("official"), F.col("prior"), F.col("new"))).first()[0], 1) == 99.3

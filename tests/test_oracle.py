@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as ent
 
-TABLES = ["documents", "embeddings", "events", "benchmark", "labels", "conversations"]
+TABLES = ["documents", "embeddings", "events", "benchmark", "labels", "conversations", "pages"]
 SQLS = ent.oracle_sql()
 QUERIES = ent.queries()
 
