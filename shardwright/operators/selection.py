@@ -90,6 +90,11 @@ def preview(text: Column, n_chars: int = PREVIEW_CHARS) -> Column:
         .otherwise(text)
 
 
+def report_line() -> Column:
+    """One line of the extremes report: rank, value, shard and the span it holds."""
+    return F.format_string("%d. %.4f %s [%d,%d)", "num", "value", "shard_stem", "start_idx", "end_idx")
+
+
 def random_subset(scored: DataFrame, score_col: str, percent: float) -> DataFrame:
     """Rows whose seeded uniform score is below ``percent / 100``; the
     subsets of one seed are nested (10 within 30 within 50 within 70)."""

@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # importing the modules fills QUERIES / ORACLES
     from .plans import (q_batches, q_eval, q_geometry, q_index, q_runs, q_schedule,  # noqa: F401
-                        q_labels, q_selection, q_sources, q_streaming, q_tokens)
+                        q_labels, q_records, q_selection, q_sources, q_streaming, q_tokens)

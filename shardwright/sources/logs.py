@@ -62,12 +62,12 @@ def parse_loss_log(lines: DataFrame) -> dict[str, DataFrame]:
     v = F.col("value")
     parts = F.split(v, ",")
     is_end = v.rlike(r"^last step \d+, error ")
-    is_shard = (F.size(parts) == 3) & (parts[0] == "shard")
-    is_step = (F.size(parts) == 2) & parts[0].rlike(r"^\d+$") & ~is_end
-    steps = lines.where(is_step).select("run_id", parts[0].try_cast("long").alias("step"),
-                                        parts[1].try_cast("double").alias("val_loss"))
-    shards = lines.where(is_shard).select("run_id", parts[1].alias("shard_name"),
-                                          parts[2].try_cast("double").alias("val_loss"))
+    is_shard = (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "shard")
+    is_step = (F.size(parts) == 2) & F.get(parts, F.lit(0)).rlike(r"^\d+$") & ~is_end
+    steps = lines.where(is_step).select("run_id", F.get(parts, F.lit(0)).try_cast("long").alias("step"),
+                                        F.get(parts, F.lit(1)).try_cast("double").alias("val_loss"))
+    shards = lines.where(is_shard).select("run_id", F.get(parts, F.lit(1)).alias("shard_name"),
+                                          F.get(parts, F.lit(2)).try_cast("double").alias("val_loss"))
     ends = lines.where(is_end).select(
         "run_id", F.regexp_extract(v, r"^last step (\d+), error (.*)$", 1).try_cast("long").alias("step"),
         F.regexp_extract(v, r"^last step (\d+), error (.*)$", 2).alias("error"))
