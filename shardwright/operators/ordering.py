@@ -4,10 +4,10 @@ The reference's rules are sequential (running token offsets, trimming in
 input order, ranks after a sort).  An un-partitioned window would put the
 whole table in one task, so two distributed patterns are used instead:
 
-* ``prefix_sum``: two-level prefix sum over a dense ordinal column.  Rows are
-  grouped in deterministic blocks (``ordinal div block_size``); block totals
-  (one row per block) get a running sum; each row adds its in-block running
-  sum.  Block size bounds every window partition.
+* ``prefix_sum``: prefix sum over an ordinal column in three levels.  Rows are
+  grouped in deterministic blocks (``ordinal div block_size``), blocks in
+  groups of ``block_size`` blocks; only the groups' totals are ordered as a
+  whole.  Block size bounds every other window partition.
 * ``global_row_number``: ordinal under an arbitrary total order.  Spark's
   range-partitioned sort splits even a hot tied value (the order is made
   unique with tie-breaker columns), the sorted frame is checkpointed so the
@@ -31,6 +31,24 @@ def _bounded_broadcast(small: DataFrame, n_rows_bound: int) -> DataFrame:
     return F.broadcast(small) if n_rows_bound <= BROADCAST_MAX_ROWS else small
 
 
+def _bases(totals: DataFrame, parts: list[str], block_size: int) -> DataFrame:
+    """``__blk_base`` of every block: the totals of the blocks before it.
+
+    Blocks are summed in groups of ``block_size`` again, so that the one table
+    that is ordered as a whole has a row per ``block_size ** 2`` ordinals, and
+    sparse ordinals, which leave one row to a block, do not meet in one task.
+    """
+    grouped = totals.withColumn("__top", F.floor(F.col("__blk") / F.lit(block_size)).cast("long"))
+    tops = grouped.groupBy(*parts, "__top").agg(F.sum("__blk_total").alias("__top_total"))
+    before = Window.unboundedPreceding, -1
+    all_tops = Window.partitionBy(*parts).orderBy("__top").rowsBetween(*before)
+    tops = tops.select(*parts, "__top", F.coalesce(F.sum("__top_total").over(all_tops), F.lit(0)).alias("__top_base"))
+    in_top = Window.partitionBy(*parts, "__top").orderBy("__blk").rowsBetween(*before)
+    local = F.coalesce(F.sum("__blk_total").over(in_top), F.lit(0))
+    return grouped.withColumn("__local", local).join(tops, [*parts, "__top"]).select(
+        *parts, "__blk", (F.col("__top_base") + F.col("__local")).alias("__blk_base"))
+
+
 def prefix_sum(df: DataFrame, ordinal: str, value: str, out: str,
                partition_cols: list[str] | None = None, block_size: int = 4096,
                inclusive: bool = False, out_type: str | None = "long") -> DataFrame:
@@ -44,9 +62,7 @@ def prefix_sum(df: DataFrame, ordinal: str, value: str, out: str,
     blk = "__blk"
     with_blk = df.withColumn(blk, F.floor(F.col(ordinal) / F.lit(block_size)).cast("long"))
     totals = with_blk.groupBy(*parts, blk).agg(F.sum(value).alias("__blk_total"))
-    w_blocks = Window.partitionBy(*parts).orderBy(blk).rowsBetween(Window.unboundedPreceding, 0)
-    bases = totals.select(*parts, blk,
-                          (F.sum("__blk_total").over(w_blocks) - F.col("__blk_total")).alias("__blk_base"))
+    bases = _bases(totals, parts, block_size)
     # The block table has one row per ``block_size`` rows of input.  No
     # driver-side bound is taken (that would be a second pass over the
     # input): adaptive execution measures the materialised block table and

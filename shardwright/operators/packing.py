@@ -120,13 +120,13 @@ def slice_cum_lengths(plan: DataFrame, n_local: int, max_num_docs: int = MAX_NUM
     (targets are shifted), padded ``[0, ends..., N, N...]`` to ``max_num_docs``.
     More than ``max_num_docs - 1`` documents is an error."""
     keys = ["step", "micro", "rank"]
-    lens = plan.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("piece", (F.col("end_idx") - F.col("start_idx")).alias("n")))).alias("p"))
-    n = F.transform("p", lambda x: x["n"])
+    so_far = F.sum(F.col("end_idx") - F.col("start_idx")).over(
+        Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, 0))
+    lens = plan.withColumn("so_far", so_far).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("piece", "so_far"))).alias("p"))
+    n = F.transform("p", lambda x: x["so_far"])
     last = F.size(n)
-    adj = F.transform(n, lambda x, i: F.when(i == last - 1, x - 1).otherwise(x))
-    cum = F.transform(adj, lambda x, i: F.aggregate(F.slice(adj, 1, i + 1), F.lit(0).cast("long"),
-                                                     lambda a, y: a + y))
+    cum = F.transform(n, lambda x, i: F.when(i == last - 1, x - 1).otherwise(x))
     too_many = F.size(cum) > F.lit(max_num_docs - 1)
     padded = F.when(too_many, F.raise_error(F.lit("more documents in a slice than max_num_docs - 1"))) \
         .otherwise(F.concat(F.array(F.lit(0).cast("long")), cum,

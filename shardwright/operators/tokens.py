@@ -99,6 +99,26 @@ def corpus_offsets(corpus: DataFrame, encoder: str | Callable = "byte") -> DataF
     return document_offsets(document_lengths(corpus, encoder))
 
 
+def document_parts(shard_size: int, chunk_size: int) -> "F.Column":
+    """Array of a document's parts, one per chunk it touches: ``(shard_id, chunk_id, pos, part)``."""
+    S, C = F.lit(shard_size).cast("long"), F.lit(chunk_size).cast("long")
+    off, end = F.col("doc_offset"), F.col("doc_offset") + F.col("n_tokens")
+
+    def in_shard(shard):
+        base = shard * S
+        low, high = F.greatest(off, base) - base, F.least(end, base + S) - base  # positions in the shard
+
+        def in_chunk(chunk):
+            a, b = F.greatest(low, chunk * C), F.least(high, (chunk + 1) * C)
+            return F.struct(shard.alias("shard_id"), chunk.cast("int").alias("chunk_id"), a.alias("pos"), F.slice(
+                "tokens", (base + a - off + 1).cast("int"), (b - a).cast("int")).alias("part"))
+
+        return F.transform(F.sequence(F.floor(low / C).cast("long"), F.floor((high - 1) / C).cast("long")), in_chunk)
+
+    shards = F.sequence(F.floor(off / S).cast("long"), F.floor((end - 1) / S).cast("long"))
+    return F.flatten(F.transform(shards, in_shard))
+
+
 def token_chunks(corpus: DataFrame, shard_size: int, chunk_size: int = CHUNK_SIZE,
                  encoder: str | Callable = "byte") -> DataFrame:
     """Managed shard storage: ``(shard_id, shard_stem, chunk_id, start_pos, tokens)``.
@@ -112,23 +132,13 @@ def token_chunks(corpus: DataFrame, shard_size: int, chunk_size: int = CHUNK_SIZ
     if "tokens" not in offs.columns:
         offs = byte_tokenize_frame(offs) if encoder == "byte" else \
             offs.withColumn("tokens", encode_document(F.col("text"), encoder))
-    pieces = shard_pieces(offs, shard_size)
-    C = F.lit(chunk_size).cast("long")
-    p0 = F.col("shard_pos")
-    p1 = p0 + F.col("piece_len")
-    sub = pieces.withColumn("chunk_id", F.explode(F.sequence(F.floor(p0 / C), F.floor((p1 - 1) / C))))
-    s = F.greatest(p0, F.col("chunk_id") * C)
-    e = F.least(p1, (F.col("chunk_id") + 1) * C)
-    sub = sub.select(
-        "shard_id", F.col("chunk_id").cast("int").alias("chunk_id"),
-        s.alias("pos"),
-        F.slice("tokens", (F.col("doc_start") + s - p0 + 1).cast("int"), (e - s).cast("int")).alias("part"),
-    )
+    # cut the parts first, then explode them: no row carries its whole document once per chunk
+    sub = offs.select(F.explode(document_parts(shard_size, chunk_size)).alias("part")).select("part.*")
     chunks = sub.groupBy("shard_id", "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     chunks = chunks.select(
         F.col("shard_id").cast("int").alias("shard_id"), "chunk_id",
-        (F.col("chunk_id").cast("long") * C).alias("start_pos"),
+        (F.col("chunk_id").cast("long") * chunk_size).alias("start_pos"),
         F.flatten(F.transform("parts", lambda x: x["part"])).alias("tokens"),
     )
     return with_shard_names(chunks).select("shard_id", "shard_stem", "chunk_id", "start_pos", "tokens")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shardwright.operators import labels as lb
 from shardwright.operators import packing as pk
 from shardwright.operators import tokens as tk
+from shardwright.operators.ordering import prefix_sum
 from shardwright.plans import corpus
 
 
@@ -62,3 +63,13 @@ def test_classifier_retries_then_fails(spark):
     except Exception:
         raised = True
     assert raised
+
+
+def test_prefix_sum_of_sparse_ordinals(spark):
+    rows = [(k * 1_000_003 % (1 << 40), k + 1) for k in range(500)]
+    out = prefix_sum(spark.createDataFrame(rows, "o long, v long"), "o", "v", "before", block_size=64).collect()
+    total, want = 0, {}
+    for o, v in sorted(rows):
+        want[o] = total
+        total += v
+    assert {r["o"]: r["before"] for r in out} == want
