@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import table
+from llm_helpers import table
 
 from shardwright.llm import exact_dedup, ngram_join, shingles, suffix_dedup
 

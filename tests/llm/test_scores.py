@@ -5,7 +5,7 @@ import re
 import zlib
 
 import numpy as np
-from conftest import table
+from llm_helpers import table
 from pyspark.sql import functions as F
 
 from shardwright.llm import mixing, quality, secrets_scan, url_filter

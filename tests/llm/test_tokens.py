@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import table
+from llm_helpers import table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

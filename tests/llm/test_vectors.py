@@ -3,7 +3,7 @@
 import math
 
 import numpy as np
-from conftest import table
+from llm_helpers import table
 
 from shardwright.llm import near_vectors
 from shardwright.llm.components import components
