@@ -104,7 +104,7 @@ def batch_plan(spans: DataFrame, num_tokens: int, max_seq_len: int, world_size:
     calls = counts.select("shard_id", (F.floor(F.col("n_slices") / world_size)).cast("long").alias("n_calls"))
     # shard order = shard_id (file names sort the same way); one row per shard
     bases = prefix_sum(calls, "shard_id", "n_calls", "call_base")
-    plan = pieces.join(F.broadcast(bases.select("shard_id", "n_calls", "call_base")), "shard_id") \
+    plan = pieces.join(bases.select("shard_id", "n_calls", "call_base"), "shard_id") \
         .where(F.col("slice_k") < F.col("n_calls") * world_size)
     call = F.col("call_base") + F.floor(F.col("slice_k") / world_size)
     return plan.select(

@@ -22,6 +22,7 @@ from ..session import scratch_path
 from ..sources import logs
 from ..sources.tables import read_table
 from .params import TOP_N
+from .q_eval import TASKS, tasks
 from .q_labels import _RULES, WORK, _work
 from .q_runs import RUNLOG, run_log
 from .q_selection import EXTREMES, extremes_query
@@ -223,3 +224,32 @@ def r16_r18_record_rule(spark, sf_dir):
         F.avg(3 + F.col("value") / 1000).alias("mean"), F.avg("value").alias("t"), F.count(F.lit(1)).alias("n"))
     return v.select("user_id", rn.retime(F.lit(104.9), F.lit(104.062), F.col("t")).alias("retimed"), rn.record_rule(
         F.col("mean"), 1.0 / F.col("n"), TARGET_LOSS_SHORT, F.col("t"), F.lit(100.0)).alias("is_record"))
+
+
+@register("s16_log_channels", f"""
+WITH {LOSS}, {BENCH}
+SELECT 'run' AS channel, count(*)::BIGINT AS n_lines FROM events
+UNION ALL SELECT 'loss', (SELECT count(*) FROM e) + (SELECT count(*) FROM shard_rows) + 2 * count(DISTINCT run_id) FROM e
+UNION ALL SELECT 'bench', count(*) FROM bench
+""")
+def s16_log_channels(spark, sf_dir):
+    path = scratch_path(spark, f"channels-{uuid.uuid4().hex}")
+    run = events(spark, sf_dir).select(F.lit("run").alias("channel"), F.format_string("s:%d tel:%.4f", "event_id", "value")
+                                       .alias("value"))
+    loss = loss_log_lines(spark, sf_dir).select(F.lit("loss").alias("channel"), "value")
+    bench = logs.format_bench_rows(bench_log(spark, sf_dir)).select(F.lit("bench").alias("channel"), "value")
+    logs.write_channels(run.unionByName(loss), path)
+    logs.write_channels(bench, path)  # a later writer appends
+    counts = [logs.read_channel(spark, path, c).agg(F.count(F.lit(1)).alias("n_lines")).select(
+        F.lit(c).alias("channel"), "n_lines") for c in logs.CHANNELS]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@register("s18_task_reader", f"""
+WITH {TASKS}
+SELECT task_id, ctx, endings, label FROM tasks
+""")
+def s18_task_reader(spark, sf_dir):
+    path = scratch_path(spark, f"tasks-{uuid.uuid4().hex}")
+    tasks(spark, sf_dir).write.json(path)
+    return logs.read_tasks(spark, path).select("task_id", "ctx", "endings", "label")

@@ -112,3 +112,28 @@ def parse_record_table(lines: DataFrame, track: str) -> DataFrame:
         F.try_to_timestamp(date_txt, F.lit("MM/dd/yy")).cast("date").alias("date"),
         F.filter(F.transform(F.split(strip_links(F.get(cells, 5)), r"\s*(,|&| and )\s*"), lambda x: F.trim(x)),
                  lambda x: x != "").alias("contributors"))
+
+
+CHANNELS = ("run", "loss", "bench")
+
+
+def write_channels(lines: DataFrame, path: str) -> None:
+    """Append ``(channel, value)`` lines to one folder per channel; another channel's name raises."""
+    known = F.col("channel").isin(*CHANNELS)
+    checked = F.when(known, F.col("channel")).otherwise(
+        F.raise_error(F.concat(F.lit(f"channels are {CHANNELS}, not "), F.coalesce("channel", F.lit("null")))))
+    lines.select(checked.cast("string").alias("channel"), "value").write.mode("append").partitionBy("channel").text(path)
+
+
+def read_channel(spark: SparkSession, path: str, channel: str) -> DataFrame:
+    return spark.read.text(f"{path}/channel={channel}").select("value")
+
+
+TASK_SCHEMA = T.StructType([
+    T.StructField("task_id", T.LongType(), False), T.StructField("ctx", T.StringType()),
+    T.StructField("endings", T.ArrayType(T.StringType())), T.StructField("label", T.IntegerType())])
+
+
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Multiple-choice tasks, one JSON object a line; a line that is no task raises."""
+    return spark.read.schema(TASK_SCHEMA).option("mode", "FAILFAST").json(path)
