@@ -20,8 +20,9 @@ within its (source, size) cell is found with salted counts, so a hot cell is
 spread over many tasks.  What is left between taken words and target is closed
 with one more or one less copy of a few documents of falling size.
 
-Nothing is drawn at random and all sums over documents are of integers, so
-reruns agree.  Nulls: a null text has size 0, a null source is a source of its
+Nothing is drawn at random: sums over documents are of integers, the dual, a sum
+of doubles whose order may differ, is rounded to nine digits, and documents are
+ordered by id, so reruns agree on any number of executors.  Nulls: a null text has size 0, a null source is a source of its
 own, null ids are kept.  Repeated rows are documents of their own.  An empty
 table gives an empty result; other columns are ignored.
 """
@@ -100,14 +101,14 @@ def newton(cells: DataFrame, targets: DataFrame, most: float, tilt: float, toler
         worst = state.agg(F.max("off")).first()[0]  # one number for all sources
         if worst is None or worst <= tolerance:
             break
-    return state.select("source", "lam")
+    return state.select("source", F.round("lam", 9).alias("lam"))
 
 
 def copies(docs: DataFrame, cells: DataFrame, most: float) -> DataFrame:
     """Whole copies per document by systematic rounding; ``cells`` carries the rate of (source, size)."""
     by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     based = cells.withColumn("base", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(by_size), F.lit(0.0)))
-    salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)))
+    salted = docs.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(SALTS)))
     counts = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("k"))
     ahead = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("source", "size", "salt", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("ahead"))
