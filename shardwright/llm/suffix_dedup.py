@@ -144,8 +144,7 @@ def deal(rows: list[tuple[int, np.ndarray]], n_buckets: int, local: int, earlier
     bucket = (names % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     names, owners, many, bucket = names[order], owners[order], many[order], bucket[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(names)].tolist()):
+    for a, b in runs_of(bucket):
         out.append((int(bucket[a]), names[a:b].tobytes(), owners[a:b].tobytes(), many[a:b].tobytes()))
     b, *blobs = zip(*out)
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), *(pa.array(c, pa.binary()) for c in blobs)],
@@ -155,8 +154,12 @@ def deal(rows: list[tuple[int, np.ndarray]], n_buckets: int, local: int, earlier
 DEALT = "bucket long, names binary, owners binary, many binary"
 
 
-def settled(dealt: DataFrame, earlier: bool) -> DataFrame:
-    """``owner, told``: the names of each document that another (``earlier``: a smaller one) has as well."""
+def settled(dealt: DataFrame, earlier: bool, n_parts: int) -> DataFrame:
+    """``owner, told``: the names of each document that another (``earlier``: a smaller one) has as well.
+
+    A bucket hands its answers on in ``n_parts`` parts by owner, not owner by owner, so the rows on the way are
+    buckets times parts however many documents there are.
+    """
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         names = np.frombuffer(b"".join(rows["names"]), np.uint64)
@@ -171,15 +174,33 @@ def settled(dealt: DataFrame, earlier: bool) -> DataFrame:
             if not earlier:
                 told = (np.logical_or.reduceat(told | many, starts))[group]
             names, owners = names[told], owners[told]
+        part = (mixed(owners.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        names, owners, part = names[order], owners[order], part[order]
+        edges = runs_of(part)
+        return pd.DataFrame({"part": np.array([part[a] for a, _ in edges], np.int64),
+                             "names": [names[a:b].tobytes() for a, b in edges],
+                             "owners": [owners[a:b].tobytes() for a, b in edges]})
+
+    def by_owner(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.frombuffer(b"".join(rows["names"]), np.uint64)
+        owners = np.frombuffer(b"".join(rows["owners"]), np.int64)
         order = np.argsort(owners, kind="stable")
         names, owners = names[order], owners[order]
-        cuts = np.flatnonzero(np.diff(owners)) + 1
-        edges = list(zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(owners)].tolist())) if len(owners) else []
+        edges = runs_of(owners)
         return pd.DataFrame({"owner": np.array([owners[a] for a, _ in edges], np.int64),
-                             "names": [names[a:b].tobytes() for a, b in edges]})
+                             "told": [names[a:b].tobytes() for a, b in edges]})
+
+    found = dealt.groupBy("bucket").applyInPandas(judge, "part long, names binary, owners binary")
+    return found.groupBy("part").applyInPandas(by_owner, "owner long, told binary")
+
 
-    found = dealt.groupBy("bucket").applyInPandas(judge, "owner long, names binary")
-    return found.groupBy("owner").agg(F.collect_list("names").alias("told"))
+def runs_of(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, stop) of the runs of equal keys."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    return list(zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(keys)].tolist()))
 
 
 def dealing(batches: Iterator[pa.RecordBatch], names_of, n_buckets: int, earlier: bool) -> Iterator[pa.RecordBatch]:
@@ -191,7 +212,7 @@ def dealing(batches: Iterator[pa.RecordBatch], names_of, n_buckets: int, earlier
 
 
 def told_names(told) -> np.ndarray:
-    return np.frombuffer(b"".join(told or ()), np.uint64)
+    return np.frombuffer(told or b"", np.uint64)
 
 
 def regions_of(data: np.ndarray, told: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -245,7 +266,7 @@ def trimmed(data: np.ndarray, done: bytes, open_: bytes, told: np.ndarray) -> tu
     return int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
 
-def text_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def text_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """``owner, cid, text``, written once and bucketed by owner, so that later joins do not shuffle texts."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -260,12 +281,12 @@ def text_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(conf).deleteOnExit(folder)
-    return spark.table(name)
+    return spark.table(name), n
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256``: one row per document."""
-    texts = text_table(docs, id_col, text_col)
+    texts, n_parts = text_table(docs, id_col, text_col)
     digests = stage(texts.select("owner", "cid", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     firsts = digests.filter(f"n_bytes >= {LENGTH}").groupBy("cid").agg(F.min("owner").alias("owner"),
                                                                        F.min("n_bytes").alias("n_bytes"))
@@ -291,7 +312,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return dealing(batches, names_of, n_samples, False)
 
     first_texts = texts.join(own, "owner").filter(F.array_contains("cids", F.col("cid"))).select("owner", "cid", "text")
-    shared = stage(settled(first_texts.mapInArrow(sampled, DEALT), False), "shared")
+    shared = stage(settled(first_texts.mapInArrow(sampled, DEALT), False, n_parts), "shared")
 
     # 2. tuples of shared samples
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +343,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return dealing(batches, names_of, n_tuples, True)
 
-    tuples = settled(region.select("owner", "names").mapInArrow(named, DEALT), True)
+    tuples = settled(region.select("owner", "names").mapInArrow(named, DEALT), True, n_parts)
 
     # 3. remaining suffixes
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +377,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return dealing(batches, names_of, n_windows, True)
 
     open_texts = with_parts(per_owner).select("owner", "text", F.col("part.open").alias("open"))
-    repeated = stage(settled(open_texts.mapInArrow(windows, DEALT), True), "repeated")
+    repeated = stage(settled(open_texts.mapInArrow(windows, DEALT), True, n_parts), "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
