@@ -44,10 +44,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import stage
-from .shingles import shingle_sets, signature
+from .shingles import mixed, shingle_sets, signature
 
 TOP, BOTTOM = 80, 100  # the threshold as a fraction
-BUCKET_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 1_000_000
 BLOCK = 512
 SKIP_WEIGHT = 0.01
 
@@ -141,12 +141,30 @@ def sifted(docs: DataFrame, n_buckets: int) -> DataFrame:
             told = others | np.logical_or.reduceat(witness, starts)
             nodes = nodes[new & ~witness & told[group]]
             seen = np.ones(len(nodes), np.int64)
-        who, at = np.unique(nodes, return_inverse=True)
-        return pd.DataFrame({"node": who, "seen": np.bincount(at, seen, len(who)).astype(np.int64)})
+        nodes, seen = summed(nodes, seen)
+        # handed on in parts by node, not node by node: buckets times parts, however many nodes there are
+        part = (mixed(nodes.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        nodes, seen, part = nodes[order], seen[order], part[order]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        edges = list(zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(part)].tolist())) if len(part) else []
+        return pd.DataFrame({"part": np.array([part[a] for a, _ in edges], np.int64),
+                             "nodes": [nodes[a:b].tobytes() for a, b in edges],
+                             "seen": [seen[a:b].tobytes() for a, b in edges]})
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, seen = summed(np.frombuffer(b"".join(rows["nodes"]), np.int64), np.frombuffer(b"".join(rows["seen"]), np.int64))
+        return pd.DataFrame({"node": nodes, "seen": seen})
 
     dealt = docs.mapInArrow(deal, "bucket long, hashes binary, nodes binary, marks binary")
-    counted = dealt.groupBy("bucket").applyInPandas(count, "node long, seen long")
-    return counted.groupBy("node").agg(F.sum("seen").alias("seen"))
+    counted = dealt.groupBy("bucket").applyInPandas(count, "part long, nodes binary, seen binary")
+    return counted.groupBy("part").applyInPandas(total, "node long, seen long")
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, values, len(distinct)).astype(np.int64)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -166,10 +184,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 def routes(sets: DataFrame) -> DataFrame:
     """``node, low``: groups of nodes that share a shingle of their rare-first prefix."""
-    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    listed = tokens.join(common, "token").groupBy("node", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    listed = tokens.join(common, "token").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common")).join(sets.select("node", "n"), "node")
     # shingles of no other node come first in the order from rare to common
     unique = F.col("n") - F.size("common")
     reach = F.col("n") - F.ceil(F.col("n") * TOP / BOTTOM) + 1 - unique
@@ -298,7 +316,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = sifted(texts, n_buckets)
     enough = F.ceil(F.ceil(F.col("n") * TOP / BOTTOM) / 10)
     left = stage(nodes.join(seen, "node").filter(F.col("seen") >= enough).select("node", "first"), "sifted")
-    ids = left.select(F.col("first").alias("id")).distinct()
+    # nothing bounds the ids that are left, so they are never broadcast: one plan at every size
+    ids = left.select(F.col("first").alias("id")).distinct().hint("merge")
     sets = sets_of(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
     sets = stage(sets.join(left.select("node"), "node", "left_semi"), "sets")
     edges = joined(sets, routes(sets))

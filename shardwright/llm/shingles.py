@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 600_000
 _rng = np.random.default_rng(20240501)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 BYTE_VALUES[ord("A"):ord("Z") + 1] = BYTE_VALUES[ord("a"):ord("z") + 1]
