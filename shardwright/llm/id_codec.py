@@ -3,12 +3,13 @@
 A block is coded on its own: its models start empty and its bytes can be read
 without any other block.  Order-2 and order-1 contexts each predict one id (the
 last one that followed them, with a confidence).  A flag says whether the
-longer available prediction is right; its probability is a mix, with adaptive
-weights, of three adaptive estimates (order 0: how often predictions hit at
-all; order 1 and order 2: how often with these confidences).  An id that was
-not predicted is coded by the order-0 model, adaptive frequencies of its upper
-part, and its lower byte.  All arithmetic is on integers, so encoder and
-decoder agree on every machine.
+longer available prediction is right; its probability mixes, with an adaptive
+weight, how often predictions hit at all (order 0) and how often they hit with
+these two confidences (orders 1 and 2).  An id that was not predicted is coded
+by the order-0 model, adaptive frequencies of its upper part; its lower byte,
+about which order 0 knows nothing, is stored beside the coded bytes.  All
+arithmetic is on integers and exactly rounded doubles, so encoder and decoder
+agree on every machine.
 
 The coder steps through equally long blocks in lockstep, one numpy operation
 for all of them, so the cost of Python is shared by all blocks of a call.
@@ -24,10 +25,14 @@ STATE_BITS = 56
 TOP = np.uint64(1 << 40)
 KEEP = np.uint64((1 << 40) - 1)
 FULL = np.uint64((1 << STATE_BITS) - 1)
+DIGIT = np.uint64(16)
 CUM_BITS = 16
-REBUILD = 64
+LITERAL_BITS = np.uint64(CUM_BITS)
+FLAG_BITS = np.uint64(CHANCE_BITS)
+REBUILD = 128
 GAIN = 24
 START_CHANCE = 1200
+LEAST = 32  # no estimate, nor a mix of two, comes nearer to 0 or 1
 
 
 class Models:
@@ -41,106 +46,108 @@ class Models:
             raise ValueError(f"ids must be below {1 << (CUM_BITS + 6)}, not {n_ids}")
         # a slot holds the predicted id and, in its last two bits, the confidence; 0 is empty
         self.slots = rows << SLOT_BITS
-        self.order1, self.order2 = (np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2))
+        self.order1, self.order2 = (np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2))
         self.hit0 = np.full(lanes, START_CHANCE, np.int32)
-        self.hit1, self.hit2 = (np.full(lanes * n, START_CHANCE, np.int32) for n in (8, 16))
-        self.rows8, self.rows16 = rows * 8, rows * 16
-        self.w1, self.w2 = (np.full(lanes, 160, np.int32) for _ in range(2))
-        self.counts = np.ones((lanes, self.n_upper), np.int32)
-        self.flat_counts = self.counts.reshape(-1)
-        self.upper_rows, self.cum_rows = rows * self.n_upper, rows * (self.n_upper + 1)
+        self.hits = np.full(lanes * 16, START_CHANCE, np.int32)
+        self.rows16 = rows * 16
+        self.weight = np.full(lanes, 192, np.int32)
+        self.counts = np.ones(lanes * self.n_upper, np.int32)
+        self.upper_rows = (rows * self.n_upper).astype(np.int32)
+        # starts of the upper parts, filled up to a power of two; nothing starts at or beyond the total
+        self.n_search = max(1, self.n_upper.bit_length())
+        self.cum_rows = rows << self.n_search
+        self.table = np.full((lanes, 1 << self.n_search), 1 << CUM_BITS, np.int32)
+        self.cum = self.table.reshape(-1)
+        self.recent = np.zeros((REBUILD, lanes), np.int32)
+        self.missed = np.zeros((REBUILD, lanes), bool)
         self.step, self.last, self.mixed_last = 0, np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def rebuild(self) -> None:
-        """Cumulative order-0 frequencies, scaled to 2 ** CUM_BITS, every symbol at least 1."""
-        run = np.cumsum(self.counts, axis=1, dtype=np.int64)
-        cum = np.zeros((self.lanes, self.n_upper + 1), np.int64)
+        self.rebuild(0)
+
+    def rebuild(self, n: int) -> None:
+        """Count the last ``n`` steps; cumulative order-0 frequencies of 2 ** CUM_BITS, every symbol at least 1."""
+        if n:
+            seen = (self.recent[:n] >> 8) + self.upper_rows
+            self.counts += np.bincount(seen[self.missed[:n]], minlength=len(self.counts)).astype(np.int32) * GAIN
+        run = np.cumsum(self.counts.reshape(self.lanes, -1), axis=1, dtype=np.int32)
         room = (1 << CUM_BITS) - self.n_upper
-        cum[:, 1:] = run * room // run[:, -1:] + np.arange(1, self.n_upper + 1)
-        self.cum = cum.reshape(-1)
+        scaled = (run * (room / run[:, -1:])).astype(np.int32)
+        self.table[:, 0] = 0
+        self.table[:, 1:self.n_upper] = scaled[:, :-1] + np.arange(1, self.n_upper, dtype=np.int32)
 
     def predict(self) -> None:
         """Prediction of the next id and the chance, of 2 ** CHANCE_BITS, that it is right."""
-        if self.step % REBUILD == 0:
-            self.rebuild()
         mask, product = (1 << SLOT_BITS) - 1, self.last * 40503
         self.at1 = ((product >> 5) & mask) + self.slots
         self.at2 = (((product + self.mixed_last) >> 7) & mask) + self.slots
         self.mixed_last = self.last * 50021
-        self.x1, self.x2 = self.order1[self.at1], self.order2[self.at2]
+        self.x1, self.x2 = self.order1.take(self.at1, mode="clip"), self.order2.take(self.at2, mode="clip")
         self.c1, self.c2 = self.x1 & 3, self.x2 & 3
-        two = self.c2 > 0
-        chosen = np.where(two, self.x2, self.x1)
+        chosen = np.where(self.c2 > 0, self.x2, self.x1)
         self.guess, self.able = chosen >> 2, chosen > 0
-        self.i1 = self.rows8 + (self.c1 + (two << np.uint32(2)))
-        self.i2 = self.rows16 + (self.c1 + (self.c2 << 2))
-        self.e1, self.e2 = self.hit1[self.i1], self.hit2[self.i2]
-        mixed = (self.w1 * (self.e1 - self.hit0) + self.w2 * (self.e2 - self.hit0) >> 9) + self.hit0
-        self.chance = np.clip(mixed, 32, (1 << CHANCE_BITS) - 32)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray, missed: np.ndarray) -> None:
-        """``missed``: numbers of the blocks whose id was coded by order 0."""
-        goal = hit.astype(np.int32) << CHANCE_BITS
-        if self.step % 4 == 0:  # the better estimate of the two gains weight
-            off = np.abs(goal - self.chance)
-            for estimate, weight in ((self.e1, self.w1), (self.e2, self.w2)):
-                weight += (np.abs(goal - estimate) < off) * np.int32(9) - np.int32(4)
-                np.clip(weight, 1, 254, out=weight)
+        self.at = self.rows16 + ((self.c2 << 2) + self.c1)
+        self.estimate = self.hits.take(self.at, mode="clip")
+        self.chance = ((self.weight * (self.estimate - self.hit0)) >> 8) + self.hit0
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        goal = hit * np.int32((1 << CHANCE_BITS) - 2 * LEAST) + np.int32(LEAST)
+        if self.step % 4 == 0:  # the nearer of the two estimates gains weight
+            nearer = np.abs(goal - self.estimate) < np.abs(goal - self.hit0)
+            self.weight = np.clip(self.weight + (nearer * np.int32(8) - np.int32(4)), 8, 248)
+        self.hits[self.at] = self.estimate + ((goal - self.estimate) >> 4)
         self.hit0 += (goal - self.hit0) >> 6
-        self.hit1[self.i1] = self.e1 + ((goal - self.e1) >> 5)
-        self.hit2[self.i2] = self.e2 + ((goal - self.e2) >> 4)
-        fresh = (ids << 2) + np.uint32(1)
+        fresh = (ids << 2) + np.int32(1)
         self.order1[self.at1] = fresh + ((self.x1 >> 2) == ids) * np.minimum(self.c1, 2)
         self.order2[self.at2] = fresh + ((self.x2 >> 2) == ids) * np.minimum(self.c2, 2)
-        self.flat_counts[self.upper_rows[missed] + (ids[missed] >> 8)] += GAIN
+        k = self.step % REBUILD
+        self.recent[k] = ids
+        np.logical_not(hit, out=self.missed[k])
         self.last, self.step = ids.astype(np.int64), self.step + 1
+        if k == REBUILD - 1:
+            self.rebuild(REBUILD)
 
 
 def encode_blocks(ids: np.ndarray, n_ids: int) -> list[bytes]:
     """Bytes of equally long blocks, the rows of ``ids``."""
     lanes, length = ids.shape
-    model, columns = Models(lanes, n_ids), np.ascontiguousarray(ids.T).astype(np.uint32)
+    model, columns = Models(lanes, n_ids), np.ascontiguousarray(ids.T).astype(np.int32)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, FULL, np.uint64)
-    width = 2 * length + 8
-    digits = np.zeros(lanes * width, np.uint32)  # 16 bits and a carry each
-    at_digit = np.arange(lanes, dtype=np.int64) * width
-
+    # a step puts out at most two digits of 16 bits, each with a carry
+    digits, out = np.zeros((2 * length + 4, lanes), np.uint32), np.zeros((2 * length + 4, lanes), bool)
+    stored = np.zeros((length, lanes), bool)
     for t in range(length):
         model.predict()
-        now, able = columns[t], model.able
-        hit = able & (model.guess == now)
-        bound = (rng >> CHANCE_BITS) * model.chance.astype(np.uint64)
-        wrong = able & ~hit
-        low += bound * wrong
-        rng = np.where(hit, bound, rng - bound * wrong)
-        missed = np.flatnonzero(~hit)
-        symbol = now[missed]
-        at = model.cum_rows[missed] + (symbol >> 8)
-        start = model.cum[at]
-        share = model.cum[at + 1] - start
-        r = rng[missed] >> (CUM_BITS + 8)
-        low[missed] += r * ((start << 8) + (symbol & 255) * share).astype(np.uint64)
-        rng[missed] = r * share.astype(np.uint64)
-        m = np.flatnonzero(rng < TOP)
-        while len(m):
-            out = low[m]
-            digits[at_digit[m]] = out >> 40
-            at_digit[m] += 1
-            low[m] = (out & KEEP) << 16
-            left = rng[m] << 16
-            rng[m] = left
-            m = m[left < TOP]
-        model.learn(now, hit, missed)
-    for _ in range(4):
-        digits[at_digit] = low >> 40
-        at_digit += 1
-        low = (low & KEEP) << 16
-    digits = digits.reshape(lanes, width)
-    for k in range(width - 1, 0, -1):  # carries run towards the front
-        digits[:, k - 1] += digits[:, k] >> 16
-    out = (digits & 0xFFFF).astype(">u2")
-    n_digits = at_digit - np.arange(lanes, dtype=np.int64) * width
-    return [out[k, :n].tobytes() for k, n in enumerate(n_digits.tolist())]
+        now = columns[t]
+        hit = model.able & (model.guess == now)
+        bound = (rng >> FLAG_BITS) * model.chance.astype(np.uint64)
+        cut = bound * (model.able > hit)
+        at = model.cum_rows + (now >> 8)
+        start = model.cum.take(at, mode="clip")
+        share = model.cum.take(at + 1, mode="clip") - start
+        r = (rng - cut) >> LITERAL_BITS
+        low += np.where(hit, np.uint64(0), cut + r * start.astype(np.uint64))
+        rng = np.where(hit, bound, r * share.astype(np.uint64))
+        for k in (2 * t, 2 * t + 1):
+            full = rng < TOP
+            if k & 1 and not full.any():
+                break
+            digits[k] = low >> np.uint64(40)
+            out[k] = full
+            low = np.where(full, (low & KEEP) << DIGIT, low)
+            rng = np.where(full, rng << DIGIT, rng)
+        np.logical_not(hit, out=stored[t])
+        model.learn(now, hit)
+    for k in range(2 * length, 2 * length + 4):
+        digits[k], out[k] = low >> np.uint64(40), True
+        low = (low & KEEP) << DIGIT
+    stops = np.cumsum(out.sum(axis=0))
+    flat = digits.T[out.T]  # block after block
+    while len(over := np.flatnonzero(flat >> 16)):  # carries run towards the front of their block
+        flat[over] &= 0xFFFF
+        flat[over - 1] += 1
+    raw, spare = flat.astype(">u2").tobytes(), (columns & 255).astype(np.uint8).T[stored.T].tobytes()
+    ends = np.cumsum(stored.sum(axis=0))
+    return [len(spare[c:d]).to_bytes(4, "little") + spare[c:d] + raw[2 * a:2 * b] for a, b, c, d in zip(
+        [0, *stops[:-1].tolist()], stops.tolist(), [0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def decode_blocks(payloads: list[bytes], length: int, n_ids: int) -> np.ndarray:
@@ -148,46 +155,45 @@ def decode_blocks(payloads: list[bytes], length: int, n_ids: int) -> np.ndarray:
     lanes = len(payloads)
     model = Models(lanes, n_ids)
     head = STATE_BITS // 8
-    width = max(len(p) for p in payloads) // 2 + 8
+    sizes = [int.from_bytes(p[:4], "little") for p in payloads]
+    spare = np.frombuffer(b"".join(p[4:4 + n] for p, n in zip(payloads, sizes)) + b"\0", np.uint8)
+    at_spare = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    coded = [p[4 + n:] for p, n in zip(payloads, sizes)]
+    width = max(len(p) for p in coded) // 2 + 8
     digits = np.zeros((lanes, width), np.uint16)
-    for k, p in enumerate(payloads):
+    for k, p in enumerate(coded):
         rest = p[head:] + b"\0" * (len(p) - head & 1)
         digits[k, :len(rest) // 2] = np.frombuffer(rest, ">u2")
     flat, at_digit = digits.reshape(-1), np.arange(lanes, dtype=np.int64) * width
-    value = np.array([int.from_bytes(p[:head], "big") for p in payloads], np.uint64)
+    value = np.array([int.from_bytes(p[:head], "big") for p in coded], np.uint64)
     rng = np.full(lanes, FULL, np.uint64)
     columns = np.zeros((length, lanes), np.uint32)
-    steps = max(1, (model.n_upper - 1).bit_length())
+    steps = [1 << k for k in range(model.n_search - 1, -1, -1)]
     for t in range(length):
         model.predict()
-        bound = (rng >> CHANCE_BITS) * model.chance.astype(np.uint64)
+        bound = (rng >> FLAG_BITS) * model.chance.astype(np.uint64)
         hit = model.able & (value < bound)
-        cut = bound * (model.able & ~hit)
-        value -= cut
-        rng = np.where(hit, bound, rng - cut)
-        now = model.guess
-        missed = np.flatnonzero(~hit)
-        r = rng[missed] >> (CUM_BITS + 8)
-        v = (value[missed] // r).astype(np.int64)
-        base, top = model.cum_rows[missed], v >> 8
-        upper = base.copy()
-        last = base + model.n_upper
-        for k in range(steps - 1, -1, -1):  # binary search for the last start at or below the value
-            probe = np.minimum(upper + (1 << k), last)
-            upper = np.where(model.cum[probe] <= top, probe, upper)
-        start = model.cum[upper]
-        share = model.cum[upper + 1] - start
-        lower = (v - (start << 8)) // share
-        now[missed] = ((upper - base) << 8) + lower
-        value[missed] -= r * ((start << 8) + lower * share).astype(np.uint64)
-        rng[missed] = r * share.astype(np.uint64)
-        m = np.flatnonzero(rng < TOP)
-        while len(m):
-            value[m] = (value[m] << 16) | flat[at_digit[m]]
-            at_digit[m] += 1
-            left = rng[m] << 16
-            rng[m] = left
-            m = m[left < TOP]
+        cut = bound * (model.able > hit)
+        r = (rng - cut) >> LITERAL_BITS
+        left = value - cut
+        v = np.minimum(left // r, (1 << CUM_BITS) - 1).astype(np.int32)
+        upper, cum = model.cum_rows.copy(), model.cum
+        for step in steps:  # binary search for the last start at or below the value
+            upper += (cum.take(upper + step, mode="clip") <= v) * step
+        start = cum.take(upper, mode="clip")
+        share = cum.take(upper + 1, mode="clip") - start
+        literal = ((upper - model.cum_rows) << 8) + spare.take(at_spare, mode="clip")
+        at_spare += ~hit
+        now = np.where(hit, model.guess, literal).astype(np.int32)
+        value = np.where(hit, value, left - r * start.astype(np.uint64))
+        rng = np.where(hit, bound, r * share.astype(np.uint64))
+        for k in range(2):
+            full = rng < TOP
+            if k and not full.any():
+                break
+            value = np.where(full, (value << DIGIT) | flat.take(at_digit, mode="clip"), value)
+            at_digit += full
+            rng = np.where(full, rng << DIGIT, rng)
         columns[t] = now
-        model.learn(now, hit, missed)
+        model.learn(now, hit)
     return np.ascontiguousarray(columns.T)

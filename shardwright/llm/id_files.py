@@ -4,7 +4,7 @@ Documents are range-partitioned by id, so the files in name order hold the
 documents in ascending order.  A task tokenises its documents, cuts the stream
 of ids into blocks of ``BLOCK`` ids and writes files of at most ``FILE_IDS``
 ids: a header, an index (document ids and lengths), a table of blocks (bytes,
-CRC-32 of their ids) and the coded blocks (:mod:`id_codec`), which are
+CRC-32 of their ids and bytes) and the coded blocks (:mod:`id_codec`), which are
 independent of each other.  A file gets its final name by a rename after it is
 complete, and its content depends on its documents only, so a task that runs
 again writes the same files.
@@ -73,7 +73,7 @@ class FileBuilder:
             part = filled[at:at + LANES * BLOCK].reshape(-1, BLOCK)
             for k, payload in enumerate(encode_blocks(part, self.ids_below)):
                 start = at + k * BLOCK
-                self.table.append((len(payload), zlib.crc32(ids[start:start + BLOCK].tobytes())))
+                self.table.append((len(payload), zlib.crc32(payload, zlib.crc32(ids[start:start + BLOCK].tobytes()))))
                 self.payloads.append(payload)
         self.waiting, self.n_waiting = [rest.tobytes()], len(rest)
 
@@ -110,7 +110,7 @@ def documents_of(content: bytes, name: str = "") -> Iterator[tuple[int | None, i
             raw = ids.tobytes()
             for k in group:
                 at = (k - first) * block * 4
-                if zlib.crc32(raw[at:at + 4 * block]) != table["crc"][k]:
+                if zlib.crc32(content[starts[k]:stops[k]], zlib.crc32(raw[at:at + 4 * block])) != table["crc"][k]:
                     raise ValueError(f"{name}: block {k} is damaged")
             yield raw
 

@@ -17,7 +17,8 @@ import numpy as np
 
 ID = np.dtype("<u4")
 SURE_CUT = re.compile(r"(?<=\S) (?=\S)")
-ENDING = ".,;:!?"
+# punctuation that the pre-tokenizers cut off a word of letters in one piece (an apostrophe may start a contraction)
+ENDING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
@@ -106,17 +107,18 @@ class WordEncoder:
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         words: set[str] = set()
         for p in parts:
-            words.update(p[1:])
+            p[0] = "\n" + p[0]  # as after a line break, whose ids are taken off again
+            words.update(p)
         words = words.difference(cache)
         odd = {w for w in words if not self._regular(w)}
         self._learn(words - odd)
         get, out = cache.__getitem__, []
         for text, p in zip(texts, parts):
-            if not self._regular(p[0]) or p[0][0] == "\n" or (odd and not odd.isdisjoint(p)):
+            if odd and not odd.isdisjoint(p):
                 cut = SURE_CUT.split(text)
                 out.append(b"".join([self._bytes(cut[0])] + [self._bytes(" " + w) for w in cut[1:]]))
             else:
-                out.append(self._bytes(p[0]) + b"".join(map(get, p[1:])))
+                out.append(b"".join(map(get, p))[len(self.newline):])
         return out
 
 
