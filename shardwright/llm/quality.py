@@ -5,8 +5,13 @@ A text that compresses smaller with the good dictionary than with the bad one
 looks like good text; the difference of the two compressed sizes, divided by
 the length, is calibrated to a probability by a logistic regression (Newton
 steps) on labelled rows that the dictionaries have not seen.  The calibration
-also knows the length and the size per byte without a dictionary, of which
-repetitive text has little; it sees nothing but these sizes.
+also knows the length of a piece and the size per byte without a dictionary, of
+which repetitive text has little; it sees nothing but these sizes.
+
+*Pieces.*  A dictionary helps near the start of what is compressed, so a text is
+cut into the fewest equal pieces of at most ``PIECE_BYTES`` and each is
+compressed on its own, to the last; the sizes are summed.  No feature grows with
+the length of the text beyond a piece.
 
 The fit reads a bounded sample: at most ``sample_rows`` rows of each class, in
 hash order, among texts of at most ``sample_bytes`` bytes.  Scoring compresses
@@ -32,6 +37,7 @@ SAMPLE_ROWS = 1600
 SAMPLE_BYTES = 32_768
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
+PIECE_BYTES = 8192
 HELD_OUT_OF, HELD_OUT = 3, 1
 
 
@@ -86,11 +92,21 @@ class Model:
         return one(self.good, self.good_raw), one(self.bad, self.bad_raw), one(b"", True)
 
 
+def pieces(text: bytes, most: int = PIECE_BYTES) -> list[memoryview]:
+    """The whole text in the fewest pieces of at most ``most`` bytes, equal but for one byte."""
+    n = max(1, -(-len(text) // most))
+    cuts = [len(text) * k // n for k in range(n + 1)]
+    view = memoryview(text)
+    return [view[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def features(texts: list[bytes], good, bad, plain) -> np.ndarray:
-    """Intercept, normalised size difference, log length, log of the plain size per byte."""
-    sizes = np.array([(len(t), *(len(c.compress(t)) for c in (good, bad, plain))) for t in texts], float)
-    n, g, b, p = np.maximum(sizes.reshape(-1, 4), 1).T
-    return np.column_stack([np.ones(len(n)), 100 * (b - g) / n, np.log(n), np.log(p / n)])
+    """Intercept, normalised size difference, log of the length of a piece, log of the plain size per byte."""
+    cut = [pieces(t) for t in texts]
+    sizes = np.array([(len(t), len(parts), *(sum(len(c.compress(x)) for x in parts) for c in (good, bad, plain)))
+                      for t, parts in zip(texts, cut)], float)
+    n, k, g, b, p = np.maximum(sizes.reshape(-1, 5), 1).T
+    return np.column_stack([np.ones(len(n)), 100 * (b - g) / n, np.log(n / k), np.log(p / n)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
