@@ -12,8 +12,9 @@ of ``documents``.
 5. best-fit packing: the pieces of all documents and their places in sequences.
 
 Decisions come back to the documents by row number, so rows that share an id,
-or have none, are kept or dropped one by one.  An empty input gives empty
-results in every stage.
+or have none, are kept or dropped one by one.  The numbers are written once with
+the rows and read from there, since a second reading of the same files may be
+split otherwise.  An empty input gives empty results in every stage.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a row number; ``docs`` is a table, so every reading numbers alike."""
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW))
+    """Documents with a stored row number: every reading has the same, however its files are split."""
+    return stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "numbered")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
