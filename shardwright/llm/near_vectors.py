@@ -1,4 +1,9 @@
-"""Embedding near-dedup by counting collisions on sorted one-dimensional projections.
+"""Embedding near-dedup by counting collisions in the tails of one-dimensional projections.
+
+This is not the collision counting that sorts every projection, counts in windows
+centred on the query over all of them and calibrates the count: projections are
+not sorted, vectors meet by hash on pairs of their top signed directions (as in
+cross-polytope hashing), ``COUNT`` is fixed and the number of tails is calibrated.
 
 Every vector is projected on many random directions (each with both signs).
 On most of them a window around a vector holds a large part of the table; in
@@ -87,7 +92,7 @@ def window_of(threshold: float) -> float:
 
 
 def calibrated_tails(sample: np.ndarray, n_axes: int, threshold: float, recall: float = RECALL) -> int:
-    """The fewest tails that find ``recall`` of random partners at the threshold."""
+    """The fewest tails that find ``recall`` of random partners at the threshold; an error if ``MOST_TAILS`` do not."""
     dim = sample.shape[1]
     axes = directions(dim, n_axes)
     most = min(MOST_TAILS, n_axes)
@@ -101,7 +106,8 @@ def calibrated_tails(sample: np.ndarray, n_axes: int, threshold: float, recall:
         found = collisions(*tails_of(sample, axes, tails), *tails_of(partner, axes, tails), window_of(threshold))[0]
         if (found >= COUNT).mean() >= recall:
             return tails
-    return most
+    raise ValueError(f"{most} tails of {n_axes} directions find {(found >= COUNT).mean():.3f} of the pairs "
+                     f"at cosine {threshold}, not {recall}")
 
 
 def valid(vector: str):
