@@ -1,19 +1,19 @@
 """Suffix dedup: remove every byte covered by a 50-byte string of an earlier document.
 
-The plan is that of a difference-cover suffix sort cut off at 50 bytes: sort
-tuples at sampled positions, name them, recurse on the names, then place the
-remaining suffixes and compare neighbours.  Instead of positions modulo a
-number, the cover is read off the content (a synchronising set): a position is
-sampled if its 20-byte string has the smallest hash among the 31 that start in
-some 50-byte string.  Like a difference cover it meets every 50-byte string,
-and equal strings at the same offset, with 1 of 16 positions instead of 2 of 3.
-
-1. *Sampled strings* are dealt by hash and sorted.  A 50-byte string can repeat
+This is hashing of content-defined windows, in place of a difference-cover
+suffix array: there is no recursion, no suffix is ordered or merged, and no
+prefixes are compared; equal 64-bit hashes count as equal bytes, without a check
+of the bytes.  Positions are sampled by content (a synchronising set): a position
+is sampled if its 20-byte string has the smallest hash among the 31 that start in
+some 50-byte string.  That meets every 50-byte string, and equal strings at the
+same offset, with 1 of 16 positions.
+
+1. *Sampled strings* are dealt by hash.  A 50-byte string can repeat
    only if its own sample, the least of its 20-byte strings, occurs in another
    document as well.
-2. *Tuples.*  Five neighbouring shared samples and the text they span get one
-   name.  A tuple that also starts in an earlier document settles all the
-   strings inside it at once, which is what the recursion on names is for.
+2. *Tuples.*  The text that five neighbouring shared samples span gets one name,
+   the hash of its bytes, in one flat step.  A tuple that also starts in an
+   earlier document settles all the strings inside it at once.
 3. *Remaining suffixes*, the possible starts that no settled tuple covers, get
    the name of their 50-byte prefix, and are settled by the smallest document
    of the equal prefixes beside them.
