@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the pipeline, with their SQL.
+"""Registered queries of the thirteen operators and the pipeline, with their SQL.
 
 Every query applies its operator, with production parameters, to its whole
 table and returns the contract's columns.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, exact_dedup, id_files, mixing, near_vectors, ngram_join, quality, secrets_scan, suffix_dedup, url_filter
+from . import best_fit, bpe_fst, exact_dedup, id_files, mixing, near_vectors, ngram_join, quality, secrets_scan, suffix_dedup, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op11_bpe_fst")
+def op11_bpe_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_fst.round_trip(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
+                              public_tokenizers.path("byte_bpe_50k.tiktoken"))
