@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, bpe_fst, exact_dedup, id_files, mixing, near_vectors, ngram_join, quality, secrets_scan, suffix_dedup, url_filter
+from . import best_fit, bpe_fst, exact_dedup, id_files, mixing, near_vectors, ngram_join, prefix_trie, quality, secrets_scan, suffix_dedup, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_fst.round_trip(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
                               public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register("op12_prefix_trie", prefix_trie.oracle())
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_columns(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(prefix_trie.rebuild(prefix_trie.turn_lists(turns)))
