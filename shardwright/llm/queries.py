@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, bpe_fst, exact_dedup, id_files, mixing, near_vectors, ngram_join, prefix_trie, quality, secrets_scan, suffix_dedup, url_filter
+from . import best_fit, bpe_fst, exact_dedup, id_files, mixing, near_vectors, ngram_join, prefix_trie, quality, secrets_scan, suffix_dedup, token_alignment, url_filter
 from .scratch import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op11_bpe_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_columns(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return prefix_trie.prefix_trie(prefix_trie.rebuild(prefix_trie.turn_lists(turns)))
+
+
+@register("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_and_count(read_columns(spark, sf_dir, "documents", "doc_id", "text"),
+                                           public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
