@@ -8,7 +8,8 @@ import pytest
 
 import __spark_entry__ as ent
 
-TABLES = ["documents", "embeddings", "events", "benchmark", "labels", "conversations", "pages"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+          "benchmark", "labels", "conversations"]
 SQLS = ent.oracle_sql()
 QUERIES = ent.queries()
 
