@@ -17,8 +17,10 @@ from ..session import scratch_path
 from ..sources import token_bin as tb
 from . import corpus
 from . import sql_parts as q
+from .params import CHUNK_SIZE
 
 EXPECTED_TRAIN_SHARDS = 12
+LEAST_TOKENS = 2  # a file holds at least one input and its target
 
 
 def written_shards(spark, sf_dir) -> str:
@@ -55,6 +57,31 @@ def s2_header_inventory(spark, sf_dir):
     return tb.header_inventory(spark, written_shards(spark, sf_dir) + "/*.bin")
 
 
+@register("s2_inventory_total", f"""
+WITH {q.DELIMS}
+SELECT count(*)::BIGINT AS n_files, sum(shard_len)::BIGINT AS n_tokens, min(shard_len)::BIGINT AS fewest,
+       max(shard_len)::BIGINT AS most FROM shard_sizes
+""")
+def s2_inventory_total(spark, sf_dir):
+    """Totals over the headers; a file of less than LEAST_TOKENS is refused."""
+    return tb.inventory_total(tb.header_inventory(spark, written_shards(spark, sf_dir) + "/*.bin", min_tokens=LEAST_TOKENS))
+
+
+@register("s3_pushed_filters", f"""
+WITH {q.TOKEN_ROWS}
+SELECT printf('fineweb_%s_%06d', CASE WHEN shard_id = 0 THEN 'val' ELSE 'train' END, shard_id) AS shard_stem,
+       (pos // {CHUNK_SIZE} * {CHUNK_SIZE})::BIGINT AS start_pos, count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum
+FROM token_rows WHERE shard_id > 0 AND pos >= {CHUNK_SIZE} AND pos < {3 * CHUNK_SIZE} GROUP BY 1, 2
+""")
+def s3_pushed_filters(spark, sf_dir):
+    """The second and third chunk of every training shard; the others make no input partition."""
+    back = tb.read_shards(spark, written_shards(spark, sf_dir) + "/*.bin", chunkSize=str(CHUNK_SIZE))
+    asked = back.where(F.col("shard_stem").startswith("fineweb_train") & (F.col("start_pos") >= CHUNK_SIZE)
+                       & (F.col("chunk_id") < 3))
+    return asked.select("shard_stem", "start_pos", F.size("tokens").cast("long").alias("n_tokens"),
+                        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"))
+
+
 @register("s4_raw_delimiters", f"""
 WITH {q.DELIMS}
 SELECT shard_stem, (pos + 512)::BIGINT AS raw_pos FROM delims

@@ -1,181 +1,254 @@
-"""``token_bin``: Python data source for token shard files.
+"""``token_bin``: Python data source for token shard files.
 
 File layout (fixed values): 256 int32 little-endian header words (magic
 20240520, version 1, token count), then the uint16 tokens.
 
+Paths may name any store of ``sources.stores`` (local, ``s3:``, ``hdfs:``, ...);
+planning lists a folder once and opens no file, reading fetches only the byte
+ranges of the chunks asked for.
+
 Read: one input partition per (file, range of chunks); a chunk row is
 ``(shard_stem, chunk_id, start_pos, tokens array<int>)``, header-free
-positions.  Options: ``path`` (glob), ``chunkSize`` (tokens per row,
-default 65536), ``chunksPerPartition`` (default 64), ``headerOnly``
-(``true``: one row per file ``(shard_stem, magic, version, n_tokens,
-n_bytes)`` without reading tokens), ``raw`` (``true``: positions as in a
-whole-file uint16 read, i.e. plus 512).
+positions.  Filters on ``shard_stem``, ``chunk_id`` and ``start_pos`` are pushed
+into the planning: shards and chunks that they exclude make no partition and
+are not read.  Options: ``path`` (glob) or ``paths`` (JSON list of files),
+``chunkSize`` (tokens per row, default 65536), ``chunksPerPartition`` (default 64),
+``headerOnly`` (``true``: one row per file ``(shard_stem, magic, version,
+n_tokens, n_bytes)`` without reading tokens), ``minTokens`` (a file with a smaller
+count is an error), ``raw`` (``true``: positions as in a whole-file uint16 read,
+i.e. plus 512), ``fileSystem`` (``module:function`` that opens other stores).
 
 Write: rows ``(shard_stem, start_pos, tokens)``; the caller puts every
 shard in one task in position order (``repartition(shard_stem)`` +
-``sortWithinPartitions``).  Each task writes ``<stem>.bin`` files under a
-temporary name; ``commit`` renames them, ``abort`` removes them.
+``sortWithinPartitions``).  Arrow batches go to 16-bit buffers as they are; a
+shard's buffers are held until its count, which stands in the header, is known
+(2 bytes a token, 200 MB for a shard of 100 million).  Each task writes
+``<stem>.bin`` files under a temporary name; ``commit`` renames them, ``abort``
+removes them.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import json
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
-                                    WriterCommitMessage)
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter,
+                                    GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan,
+                                    LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
 from pyspark.sql.types import StructType
 
 from ..constants import HEADER_INTS, HEADER_TOKENS, SHARD_MAGIC, SHARD_VERSION, TOKEN_LIMIT
+from . import stores
 
 HEADER_BYTES = HEADER_INTS * 4
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 CHUNK_SCHEMA = "shard_stem string, chunk_id int, start_pos long, tokens array<int>"
 HEADER_SCHEMA = "shard_stem string, magic int, version int, n_tokens long, n_bytes long"
 
-
-def read_header(path: str) -> np.ndarray:
-    return np.fromfile(path, dtype="<i4", count=HEADER_INTS)
-
-
-def check_header(path: str) -> int:
-    h = read_header(path)
+# what a pushed filter keeps, for arrays of values; a null literal keeps nothing
+KEEPS: dict[type, Callable] = {
+    EqualTo: lambda x, v: x == v,
+    EqualNullSafe: lambda x, v: x == v,
+    GreaterThan: lambda x, v: x > v,
+    GreaterThanOrEqual: lambda x, v: x >= v,
+    LessThan: lambda x, v: x < v,
+    LessThanOrEqual: lambda x, v: x <= v,
+    In: lambda x, v: np.isin(x, [one for one in v if one is not None]),
+    IsNotNull: lambda x, v: np.ones(len(x), bool),
+    StringStartsWith: lambda x, v: np.char.startswith(x, v),
+    StringEndsWith: lambda x, v: np.char.endswith(x, v),
+    StringContains: lambda x, v: np.char.find(x, v) >= 0,
+}
+
+
+def kept(filters: Iterable[Filter], column: str, values: np.ndarray) -> np.ndarray:
+    """Mask of the column's values that all its filters keep."""
+    mask = np.ones(len(values), bool)
+    for f in filters:
+        if f.attribute == (column,):
+            value = getattr(f, "value", None)
+            mask &= KEEPS[type(f)](values, value) if value is not None or isinstance(f, IsNotNull) else False
+    return mask
+
+
+def read_header(path: str, opener: str | None = None) -> np.ndarray:
+    return np.frombuffer(stores.read_range(path, 0, HEADER_BYTES, opener), "<i4")
+
+
+def check_header(path: str, n_bytes: int, opener: str | None = None) -> int:
+    h = read_header(path, opener)
     if len(h) < 3 or h[0] != SHARD_MAGIC:
         raise ValueError(f"{path}: header starts with {h[:1].tolist()}, expected {SHARD_MAGIC}")
     if h[1] != SHARD_VERSION:
         raise ValueError(f"{path}: version {h[1]}, expected {SHARD_VERSION}")
     n = int(h[2])
-    if os.path.getsize(path) != HEADER_BYTES + 2 * n:
-        raise ValueError(f"{path}: {os.path.getsize(path)} bytes, expected {HEADER_BYTES + 2 * n} for {n} ids")
+    if n_bytes != HEADER_BYTES + 2 * n:
+        raise ValueError(f"{path}: {n_bytes} bytes, expected {HEADER_BYTES + 2 * n} for {n} ids")
     return n
 
 
 def _stem(path: str) -> str:
-    return os.path.splitext(os.path.basename(path))[0]
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str, first_chunk: int, n_chunks: int):
-        self.path, self.first_chunk, self.n_chunks = path, first_chunk, n_chunks
+class ChunkRange(InputPartition):
+    """Consecutive chunks of a file."""
+
+    def __init__(self, path: str, n_bytes: int, first_chunk: int, n_chunks: int):
+        self.path, self.n_bytes, self.first_chunk, self.n_chunks = path, n_bytes, first_chunk, n_chunks
 
 
 class TokenBinReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.pattern = options["path"]
+        self.patterns = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+        self.opener = options.get("fileSystem")
         self.chunk = int(options.get("chunkSize", 65536))
         self.per_part = int(options.get("chunksPerPartition", 64))
+        self.min_tokens = int(options.get("minTokens", 0))
         self.header_only = str(options.get("headerOnly", "false")).lower() == "true"
-        self.raw = str(options.get("raw", "false")).lower() == "true"
-
-    def partitions(self):
-        files = sorted(glob.glob(self.pattern))
+        self.shift = HEADER_TOKENS if str(options.get("raw", "false")).lower() == "true" else 0
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        columns = {"shard_stem"} if self.header_only else {"shard_stem", "chunk_id", "start_pos"}
+        for f in filters:
+            if type(f) in KEEPS and f.attribute in {(c,) for c in columns}:
+                self.filters.append(f)
+            else:
+                yield f
+
+    def partitions(self) -> list[ChunkRange]:
+        files = [f for p in self.patterns for f in stores.matching(p, self.opener)]
         if not files:
-            raise FileNotFoundError(f"{self.pattern} matches no file; expected one or more shard files")
-        if self.header_only:
-            return [_Part(f, 0, 0) for f in files]
+            raise FileNotFoundError(f"{self.patterns} matches no file; expected one or more shard files")
+        wanted = kept(self.filters, "shard_stem", np.array([_stem(f.path) for f in files]))
         parts = []
-        for f in files:
-            n_tok = max((os.path.getsize(f) - HEADER_BYTES) // 2, 0)
-            n_chunks = max((n_tok + self.chunk - 1) // self.chunk, 1)
-            for c in range(0, n_chunks, self.per_part):
-                parts.append(_Part(f, c, min(self.per_part, n_chunks - c)))
+        for f in (f for f, k in zip(files, wanted) if k):
+            if self.header_only:
+                parts.append(ChunkRange(f.path, f.size, 0, 0))
+                continue
+            n_tokens = max((f.size - HEADER_BYTES) // 2, 0)
+            chunks = np.arange(max(-(-n_tokens // self.chunk), 1))
+            chunks = chunks[kept(self.filters, "chunk_id", chunks)
+                            & kept(self.filters, "start_pos", chunks * self.chunk + self.shift)]
+            for run in np.split(chunks, np.flatnonzero(np.diff(chunks) != 1) + 1):
+                parts += [ChunkRange(f.path, f.size, int(run[k]), len(run[k:k + self.per_part]))
+                          for k in range(0, len(run), self.per_part)]
         return parts
 
-    def read(self, part: _Part):
-        import pyarrow as pa
+    def read(self, part: ChunkRange | None) -> Iterator:
+        if part is None:  # Spark's one task of a scan without partitions
+            return
         if self.header_only:
-            h = read_header(part.path)
-            yield (_stem(part.path), int(h[0]), int(h[1]), int(h[2]), os.path.getsize(part.path))
+            h = read_header(part.path, self.opener)
+            if self.min_tokens and (len(h) < 3 or h[2] < self.min_tokens):
+                raise ValueError(f"{part.path} holds {h[2:3].tolist()} tokens, expected at least {self.min_tokens}")
+            yield (_stem(part.path), int(h[0]), int(h[1]), int(h[2]), part.n_bytes)
             return
-        n = check_header(part.path)
+        n = check_header(part.path, part.n_bytes, self.opener)
+        if n < self.min_tokens:
+            raise ValueError(f"{part.path} holds {n} tokens, expected at least {self.min_tokens}")
         lo = part.first_chunk * self.chunk
         hi = min(n, (part.first_chunk + part.n_chunks) * self.chunk)
         if hi <= lo:
             return
-        toks = np.fromfile(part.path, dtype="<u2", count=hi - lo, offset=HEADER_BYTES + 2 * lo).astype(np.int32)
+        raw = stores.read_range(part.path, HEADER_BYTES + 2 * lo, 2 * (hi - lo), self.opener)
+        tokens = np.frombuffer(raw, "<u2").astype(np.int32)
         starts = np.arange(lo, hi, self.chunk, dtype=np.int64)
         offsets = np.append(starts - lo, hi - lo).astype(np.int32)
-        shift = HEADER_TOKENS if self.raw else 0
         yield pa.RecordBatch.from_arrays([
             pa.array([_stem(part.path)] * len(starts), pa.string()),
             pa.array((starts // self.chunk).astype(np.int32)),
-            pa.array(starts + shift),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(toks)),
+            pa.array(starts + self.shift),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
         ], names=["shard_stem", "chunk_id", "start_pos", "tokens"])
 
 
-class _Written(WriterCommitMessage):
+class Written(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
 
 
-class TokenBinWriter(DataSourceWriter):
+class TokenBinWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.dir = options["path"]
+        self.dir = options["path"].rstrip("/")
+        self.opener = options.get("fileSystem")
         self.overwrite = overwrite
 
-    def write(self, rows):
-        os.makedirs(self.dir, exist_ok=True)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, folder = stores.open_store(self.dir, self.opener)
+        store.create_dir(folder, recursive=True)
         done: list[tuple[str, str]] = []
-        cur, fh, count, tmp = None, None, 0, None
-
-        def close():
-            if fh is not None:
-                if count >= 2 ** 31:
-                    raise ValueError(f"shard {cur} has {count} ids; the header's count is a signed 32-bit integer")
-                fh.seek(0)
-                header = np.zeros(HEADER_INTS, dtype="<i4")
-                header[0], header[1], header[2] = SHARD_MAGIC, SHARD_VERSION, count
-                fh.write(header.tobytes())
-                fh.close()
-                done.append((tmp, os.path.join(self.dir, cur + ".bin")))
-
+        stem, held = None, []
         try:
-            for row in rows:
-                stem = row["shard_stem"]
-                if stem != cur:
-                    close()
-                    cur, count = stem, 0
-                    tmp = os.path.join(self.dir, f".{stem}.bin.{uuid.uuid4().hex}.tmp")
-                    fh = open(tmp, "wb")
-                    fh.write(b"\0" * HEADER_BYTES)
-                count += self._append(fh, stem, row["tokens"])
-            close()
+            for batch in iterator:
+                stems = batch.column("shard_stem")
+                first = 0
+                while first < batch.num_rows:  # once per shard of the batch
+                    name = stems[first].as_py()
+                    n = int(np.argmin(np.append(stems.slice(first).to_numpy(zero_copy_only=False) == name, False)))
+                    if name != stem:
+                        self._close(store, folder, stem, held, done)
+                        stem, held = name, []
+                    held.append(self._ids(name, batch.column("tokens").slice(first, n).flatten()))
+                    first += n
+            self._close(store, folder, stem, held, done)
         except BaseException:  # a failed attempt leaves no file behind
-            if fh is not None:
-                fh.close()
-            for path in [p for p, _ in done] + [tmp] * (tmp is not None):
-                if os.path.exists(path):
-                    os.remove(path)
+            self._remove([temporary for temporary, _ in done])
             raise
-        return _Written(done)
+        return Written(done)
+
+    @staticmethod
+    def _ids(stem: str, tokens: pa.Array) -> np.ndarray:
+        if tokens.null_count:
+            raise ValueError(f"shard {stem} holds a null id")
+        ids = tokens.to_numpy()
+        if ids.size and (ids.min() < 0 or ids.max() >= TOKEN_LIMIT):
+            raise ValueError(f"shard {stem} holds ids from {ids.min()} to {ids.max()}; a file stores 16 bits each")
+        return ids.astype("<u2")
 
     @staticmethod
-    def _append(fh, stem: str, tokens) -> int:
-        arr = np.asarray(tokens, dtype=np.int64)
-        if arr.size and (arr.min() < 0 or arr.max() >= TOKEN_LIMIT):
-            raise ValueError(f"shard {stem} holds ids from {arr.min()} to {arr.max()}; a file stores 16 bits each")
-        fh.write(arr.astype("<u2").tobytes())
-        return int(arr.size)
-
-    def commit(self, messages):
+    def _close(store: fs.FileSystem, folder: str, stem: str | None, held: list[np.ndarray], done: list[tuple[str, str]]) -> None:
+        """Write a whole shard under a temporary name."""
+        if stem is None:
+            return
+        count = sum(map(len, held))
+        if count >= 2 ** 31:
+            raise ValueError(f"shard {stem} has {count} ids; the header's count is a signed 32-bit integer")
+        header = np.zeros(HEADER_INTS, "<i4")
+        header[:3] = SHARD_MAGIC, SHARD_VERSION, count
+        temporary = f"{folder}/.{stem}.bin.{uuid.uuid4().hex}.tmp"
+        done.append((temporary, f"{folder}/{stem}.bin"))
+        with store.open_output_stream(temporary) as out:
+            out.write(header)
+            for ids in held:
+                out.write(ids)
+
+    def _remove(self, paths: list[str]) -> None:
+        store, _ = stores.open_store(self.dir, self.opener)
+        for path in paths:
+            if store.get_file_info(path).type == fs.FileType.File:
+                store.delete_file(path)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, folder = stores.open_store(self.dir, self.opener)
         written = set()
-        for m in messages:
-            for tmp, final in (m.files if m else []):
-                os.replace(tmp, final)
-                written.add(final)
+        for temporary, final in (f for m in messages if m for f in m.files):
+            store.move(temporary, final)
+            written.add(final)
         if self.overwrite:  # the folder then holds this job's shards only
-            for path in glob.glob(os.path.join(self.dir, "*.bin")):
-                if path not in written:
-                    os.remove(path)
+            old = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            self._remove([f.path for f in old if f.path.endswith(".bin") and f.path not in written])
 
-    def abort(self, messages):
-        for m in messages:
-            for tmp, _ in (m.files if m else []):
-                if os.path.exists(tmp):
-                    os.remove(tmp)
+    def abort(self, messages: list[Written | None]) -> None:
+        self._remove([temporary for m in messages if m for temporary, _ in m.files])
 
 
 class TokenBinDataSource(DataSource):
@@ -195,27 +268,33 @@ class TokenBinDataSource(DataSource):
         return TokenBinWriter(self.options, overwrite)
 
 
-def register(spark) -> None:
+def register(spark: SparkSession) -> None:
+    """Make ``token_bin`` known to the session, and let Spark hand filters to Python sources."""
     spark.dataSource.register(TokenBinDataSource)
+    spark.conf.set(PUSHDOWN, "true")
 
 
-def write_shards(chunks, path: str) -> None:
+def write_shards(chunks: DataFrame, path: str, **options) -> None:
     """Write ``(shard_stem, start_pos, tokens)`` rows as shard files."""
     register(chunks.sparkSession)
     chunks.select("shard_stem", "start_pos", "tokens").repartition("shard_stem") \
         .sortWithinPartitions("shard_stem", "start_pos") \
-        .write.format("token_bin").mode("append").option("path", path).save()
+        .write.format("token_bin").mode("append").options(path=path, **options).save()
 
 
-def read_shards(spark, pattern: str, **options):
-    """Chunk rows of every file matching ``pattern`` (sorted)."""
+def read_shards(spark: SparkSession, files: str | list[str], **options) -> DataFrame:
+    """Chunk rows of every file matching a pattern, or of the files of a list, in path order."""
     register(spark)
-    r = spark.read.format("token_bin").option("path", pattern)
-    for k, v in options.items():
-        r = r.option(k, str(v))
-    return r.load()
+    where = {"path": files} if isinstance(files, str) else {"paths": json.dumps(files)}
+    return spark.read.format("token_bin").options(**where, **options).load()
+
+
+def header_inventory(spark: SparkSession, pattern: str, min_tokens: int = 0, **options) -> DataFrame:
+    """Header of every file without reading tokens; a file of less than ``min_tokens`` is refused."""
+    return read_shards(spark, pattern, headerOnly="true", minTokens=str(min_tokens), **options)
 
 
-def header_inventory(spark, pattern: str):
-    """Header of every file without reading tokens."""
-    return read_shards(spark, pattern, headerOnly="true")
+def inventory_total(inventory: DataFrame) -> DataFrame:
+    """Files and tokens over all files, and the smallest and largest count."""
+    return inventory.agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_tokens").alias("n_tokens"),
+                         F.min("n_tokens").alias("fewest"), F.max("n_tokens").alias("most"))
