@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BIGRAM_VOCAB_SIZE
 from ..operators import packing as pk
+from ..operators import staged_packing as stp
 from ..registry import register
 from . import corpus
 from . import sql_parts as q
@@ -20,6 +21,10 @@ NT_B, MSL_B, WS_B, GA_B = BATCH_B
 N_LOCAL_B = NT_B // GA_B // WS_B
 PLAN_B = q.TRAIN_SPANS + q.aligned_plan(N_LOCAL_B, MSL_B, WS_B, GA_B)
 
+# stages of the schedule-driven plan: first step, tokens a step, longest document
+GA_B12 = 2
+STAGES_B12 = [(0, 8192, 896), (9, 16384, 2048), (21, 12288, 2048), (40, 24576, 4096)]
+
 
 def plan_a(spark, sf_dir):
     _, _, spans = corpus.index(spark, sf_dir)
@@ -43,6 +48,16 @@ def b1_batch_plan_long_docs(spark, sf_dir):
     return pk.batch_plan(spans, NT_B, MSL_B, WS_B, GA_B)
 
 
+@register("b12_staged_plan", f"""
+WITH RECURSIVE {q.TRAIN_SPANS}{q.staged_plan(STAGES_B12, WS, GA_B12)}
+SELECT step, micro, rank, stage, shard_id, shard_stem, piece, doc_idx, start_idx, end_idx FROM plan
+""")
+def b12_staged_plan(spark, sf_dir):
+    _, _, spans = corpus.index(spark, sf_dir)
+    schedule = stp.Schedule(tuple(stp.Stage(*s) for s in STAGES_B12), WS, GA_B12)
+    return stp.staged_plan(spans.where(F.col("shard_id") > 0), schedule)
+
+
 @register("b3_slice_totals", f"""
 WITH RECURSIVE {PLAN_A}
 SELECT step, micro, rank, sum(end_idx - start_idx)::BIGINT AS n_tokens, count(*)::BIGINT AS n_docs,

@@ -88,6 +88,49 @@ plan AS (SELECT ((cb.call_base + p.slice_k // {world_size}) // {grad_accum})::BI
          WHERE p.slice_k < cb.n_calls * {world_size})"""
 
 
+def staged_plan(stages: list[tuple[int, int, int]], world_size: int, grad_accum: int) -> str:
+    """Plan rows as ``plan`` for stages (first step, tokens a step, longest document); needs TRAIN_SPANS before it.
+
+    ``made`` follows the loader call by call, shard after shard.
+    """
+    rows = ", ".join(f"({j}, {first * grad_accum}, {tokens // grad_accum // world_size + 1}, {longest})"
+                     for j, (first, tokens, longest) in enumerate(stages))
+    hops = "".join(f" JOIN nxt n{r} ON n{r}.stage = n{r - 1}.stage AND n{r}.shard_id = n{r - 1}.shard_id AND n{r}.s = n{r - 1}.nj"
+                   for r in range(1, world_size))
+    edges = ", ".join(f"n{r}.s" for r in range(world_size))
+    return f""",
+stages(stage, first_call, need, longest) AS (VALUES {rows}),
+sp AS (SELECT stage, need, shard_id, shard_stem, doc_idx, start_idx, least(end_idx - start_idx, longest) AS L
+       FROM train_spans, stages WHERE shard_id > 0),
+pp AS (SELECT *, sum(L) OVER (PARTITION BY stage, shard_id ORDER BY doc_idx ROWS UNBOUNDED PRECEDING) - L AS P FROM sp),
+pts AS (SELECT stage, need, shard_id, doc_idx AS j, P FROM pp
+        UNION ALL SELECT stage, any_value(need), shard_id, count(*), sum(L) FROM sp GROUP BY stage, shard_id),
+nxt AS (SELECT a.stage, a.shard_id, a.j AS s, min(b.j) AS nj
+        FROM pts a JOIN pts b ON a.stage = b.stage AND a.shard_id = b.shard_id AND b.P >= a.P + a.need
+        GROUP BY a.stage, a.shard_id, a.j),
+hops AS (SELECT n0.stage, n0.shard_id, n0.s AS at, n{world_size - 1}.nj AS after, [{edges}, n{world_size - 1}.nj] AS edges
+         FROM nxt n0{hops}),
+shards AS (SELECT shard_id, row_number() OVER (ORDER BY shard_id) AS ord FROM (SELECT DISTINCT shard_id FROM sp)),
+made AS (SELECT 1::BIGINT AS ord, 0::BIGINT AS at, 0::BIGINT AS call, NULL::BIGINT AS made_call, NULL::INTEGER AS stage,
+                NULL::BIGINT[] AS edges, NULL::BIGINT AS shard_id
+         UNION ALL
+         SELECT CASE WHEN h.at IS NULL THEN m.ord + 1 ELSE m.ord END, coalesce(h.after, 0),
+                CASE WHEN h.at IS NULL THEN m.call ELSE m.call + 1 END, CASE WHEN h.at IS NOT NULL THEN m.call END,
+                h.stage, h.edges, h.shard_id
+         FROM made m JOIN shards ON shards.ord = m.ord
+              LEFT JOIN hops h ON h.shard_id = shards.shard_id AND h.at = m.at
+                               AND h.stage = (SELECT max(stage) FROM stages WHERE first_call <= m.call)),
+slices AS (SELECT made_call, stage, shard_id, unnest(range({world_size})) AS rank, edges FROM made WHERE made_call IS NOT NULL),
+plan AS (SELECT (made_call // {grad_accum})::BIGINT AS step, (made_call % {grad_accum})::INTEGER AS micro, rank::INTEGER AS rank,
+                c.stage::INTEGER AS stage, c.shard_id::INTEGER AS shard_id, p.shard_stem, (p.doc_idx - edges[rank + 1])::INTEGER AS piece,
+                p.doc_idx::BIGINT AS doc_idx, p.start_idx::BIGINT AS start_idx,
+                (CASE WHEN p.doc_idx = edges[rank + 2] - 1 THEN p.start_idx + f.P + p.need - p.P
+                      ELSE p.start_idx + p.L END)::BIGINT AS end_idx
+         FROM slices c JOIN pp p ON p.stage = c.stage AND p.shard_id = c.shard_id
+                                    AND p.doc_idx >= edges[rank + 1] AND p.doc_idx < edges[rank + 2]
+              JOIN pp f ON f.stage = c.stage AND f.shard_id = c.shard_id AND f.doc_idx = edges[rank + 1])"""
+
+
 def unaligned_slices(num_tokens: int, world_size: int, grad_accum: int) -> str:
     """Unaligned windows as ``uslices`` (needs DELIMS before it)."""
     B = num_tokens // grad_accum
