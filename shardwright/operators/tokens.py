@@ -9,8 +9,10 @@ pieces, so every shard except the last holds exactly ``shard_size`` tokens.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,41 @@ def document_parts(shard_size: int, chunk_size: int) -> "F.Column":
     return F.flatten(F.transform(shards, in_shard))
 
 
+def packed_parts(corpus: DataFrame, shard_size: int, encoder: str | Callable = "byte") -> DataFrame:
+    """``(shard_id, shard_stem, start_pos, packed)``: each document's part of each shard, ids as 16-bit bytes.
+
+    Offsets come from a pass over the lengths alone.  The only exchange that moves
+    tokens is the one that brings a shard's parts together, at two bytes a token.
+    """
+    offsets = corpus_offsets(corpus, encoder).select("doc_ord", "n_tokens", "doc_offset")
+    pieces = shard_pieces(pack_documents(corpus, encoder).join(offsets, "doc_ord"), shard_size)
+    part = F.substring(F.col("packed"), (2 * F.col("doc_start") + 1).cast("int"), (2 * F.col("piece_len")).cast("int"))
+    return with_shard_names(pieces.select(
+        F.col("shard_id").cast("int").alias("shard_id"), F.col("shard_pos").alias("start_pos"), part.alias("packed"))).select(
+        "shard_id", "shard_stem", "start_pos", "packed")
+
+
+def pack_documents(corpus: DataFrame, encoder: str | Callable = "byte") -> DataFrame:
+    """``(doc_ord, packed)``: delimiter and tokens of a document as little-endian 16-bit bytes."""
+    delimiter = np.array([BOS_ID], "<u2").tobytes()
+
+    def pack(text: str | None) -> bytes:
+        if encoder == "byte":
+            return delimiter + np.frombuffer((text or "").encode(), np.uint8).astype("<u2").tobytes()
+        ids = np.array(encoder(text or ""), np.int64)
+        if ids.size and (ids.min() < 0 or ids.max() >= TOKEN_LIMIT):
+            raise ValueError(f"ids from {ids.min()} to {ids.max()}; a shard stores 16 bits each")
+        return delimiter + ids.astype("<u2").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([pack(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ord"), packed], names=["doc_ord", "packed"])
+
+    ordinal = corpus.schema["doc_ord"].dataType.simpleString()
+    return corpus.select("doc_ord", "text").mapInArrow(run, f"doc_ord {ordinal}, packed binary")
+
+
 def token_chunks(corpus: DataFrame, shard_size: int, chunk_size: int = CHUNK_SIZE,
                  encoder: str | Callable = "byte") -> DataFrame:
     """Managed shard storage: ``(shard_id, shard_stem, chunk_id, start_pos, tokens)``.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BIGRAM_VOCAB_SIZE
 from ..operators import packing as pk
+from ..operators import span_cursor as cursor
 from ..operators import staged_packing as stp
 from ..registry import register
 from . import corpus
@@ -87,7 +88,7 @@ SELECT step, micro, rank,
 FROM buf GROUP BY step, micro, rank
 """)
 def b5_inputs_targets(spark, sf_dir):
-    it = pk.inputs_targets(pk.slice_buffers(plan_a(spark, sf_dir), corpus.chunks(spark, sf_dir)))
+    it = pk.inputs_targets(cursor.slice_buffers(plan_a(spark, sf_dir), corpus.shard_files(spark, sf_dir)))
     zero = F.lit(0).cast("long")
     return it.select(
         "step", "micro", "rank",
@@ -150,7 +151,7 @@ def b7_unaligned_doc_ends(spark, sf_dir):
     w = pk.unaligned_windows(sizes, NT_B, WS_B, GA_B)
     plan = w.select("step", "micro", "rank", "shard_stem", F.lit(0).alias("piece"),
                     F.col("slice_start").alias("start_idx"), F.col("slice_end").alias("end_idx"))
-    it = pk.inputs_targets(pk.slice_buffers(plan, corpus.chunks(spark, sf_dir)))
+    it = pk.inputs_targets(cursor.slice_buffers(plan, corpus.shard_files(spark, sf_dir)))
     ends = pk.delimiter_ends(F.col("inputs"))
     return it.select("step", "micro", "rank", F.size(ends).cast("int").alias("n_ends"), ends.alias("doc_ends"))
 
@@ -171,8 +172,7 @@ hashed AS (SELECT step, micro, rank, i,
 
 
 def _hashes(spark, sf_dir):
-    it = pk.inputs_targets(pk.slice_buffers(plan_a(spark, sf_dir), corpus.chunks(spark, sf_dir)))
-    return it.select("step", "micro", "rank", pk.bigram_hash(F.col("inputs")).alias("h"))
+    return cursor.slice_hashes(plan_a(spark, sf_dir), corpus.shard_files(spark, sf_dir))
 
 
 @register("b13_bigram_hash", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import packing as pk
+from ..operators import span_cursor as cursor
 from ..operators import spans as sp
 from ..registry import register
 from . import corpus
@@ -59,7 +60,7 @@ FROM scoring s JOIN documents d ON d.doc_id = s.doc_ord
 def d4_decode_spans(spark, sf_dir):
     delims, _, _ = corpus.index(spark, sf_dir)
     spans = sp.scoring_spans(delims)
-    return sp.decode_spans(spans, corpus.chunks(spark, sf_dir)).select("shard_stem", "start_idx", "end_idx", "text")
+    return cursor.decode_spans(spans, corpus.shard_files(spark, sf_dir)).select("shard_stem", "start_idx", "end_idx", "text")
 
 
 @register("d5_span_slices", f"""
@@ -71,7 +72,7 @@ GROUP BY s.shard_stem, s.start_idx
 """)
 def d5_span_slices(spark, sf_dir):
     _, _, spans = corpus.index(spark, sf_dir)
-    toks = sp.span_tokens(spans, corpus.chunks(spark, sf_dir), skip_delimiter=False)
+    toks = cursor.span_tokens(spans, corpus.shard_files(spark, sf_dir), skip_delimiter=False)
     return toks.select(
         "shard_stem", "start_idx", F.size("tokens").cast("long").alias("n_tokens"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),

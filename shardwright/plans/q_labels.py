@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NON_RANDOM_METRICS
 from ..operators import labels as lb
-from ..operators import spans as sp
+from ..operators import span_cursor as cursor
 from ..registry import register
 from . import corpus
 from .q_selection import EXTREMES, extremes_query
@@ -30,7 +30,7 @@ def _work(spark, sf_dir):
     ext = extremes_query(spark, sf_dir).where(F.col("metric").isin(NON_RANDOM_METRICS))
     want = ext.select("shard_stem", (F.col("start_idx") - 512).alias("start_idx"),
                       (F.col("end_idx") - 512).alias("end_idx")).distinct()
-    texts = sp.decode_spans(want, corpus.chunks(spark, sf_dir)).select(
+    texts = cursor.decode_spans(want, corpus.shard_files(spark, sf_dir)).select(
         "shard_stem", (F.col("start_idx") + 512).alias("start_idx"), "text")
     # documents of the spans, to find keys already labelled
     delims, _, _ = corpus.index(spark, sf_dir)

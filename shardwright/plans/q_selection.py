@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import METRIC_COLUMNS, SELECTION_DIVISOR
 from ..operators import selection as sel
+from ..operators import span_cursor as cursor
 from ..operators import spans as sp
 from ..registry import register
 from . import corpus
@@ -171,7 +172,7 @@ def x7_preview(spark, sf_dir):
     # decode only the spans that are reported (header offset removed first)
     want = ext.select("shard_stem", (F.col("start_idx") - 512).alias("start_idx"),
                       (F.col("end_idx") - 512).alias("end_idx")).distinct()
-    texts = sp.decode_spans(want, corpus.chunks(spark, sf_dir))
+    texts = cursor.decode_spans(want, corpus.shard_files(spark, sf_dir))
     texts = texts.select("shard_stem", (F.col("start_idx") + 512).alias("start_idx"), "text")
     return ext.join(texts, ["shard_stem", "start_idx"]).select(
         "metric", "best_or_worst", F.col("num").cast("int").alias("num"), sel.preview(F.col("text")).alias("preview"))

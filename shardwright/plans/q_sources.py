@@ -7,13 +7,10 @@ under the session's shared checkpoint folder and read back through the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import spans as sp
 from ..registry import register
-from ..session import scratch_path
 from ..sources import token_bin as tb
 from . import corpus
 from . import sql_parts as q
@@ -24,9 +21,7 @@ LEAST_TOKENS = 2  # a file holds at least one input and its target
 
 
 def written_shards(spark, sf_dir) -> str:
-    path = scratch_path(spark, f"shards-{uuid.uuid4().hex}")
-    tb.write_shards(corpus.chunks(spark, sf_dir), path)
-    return path
+    return corpus.shard_files(spark, sf_dir)
 
 
 @register("s3_s5_bin_roundtrip", f"""

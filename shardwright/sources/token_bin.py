@@ -18,7 +18,8 @@ n_tokens, n_bytes)`` without reading tokens), ``minTokens`` (a file with a small
 count is an error), ``raw`` (``true``: positions as in a whole-file uint16 read,
 i.e. plus 512), ``fileSystem`` (``module:function`` that opens other stores).
 
-Write: rows ``(shard_stem, start_pos, tokens)``; the caller puts every
+Write: rows ``(shard_stem, start_pos, tokens)``, or with the ids already as bytes of the
+file in a binary column ``packed``; the caller puts every
 shard in one task in position order (``repartition(shard_stem)`` +
 ``sortWithinPartitions``).  Arrow batches go to 16-bit buffers as they are; a
 shard's buffers are held until its count, which stands in the header, is known
@@ -197,7 +198,7 @@ class TokenBinWriter(DataSourceArrowWriter):
                     if name != stem:
                         self._close(store, folder, stem, held, done)
                         stem, held = name, []
-                    held.append(self._ids(name, batch.column("tokens").slice(first, n).flatten()))
+                    held.append(self._ids(name, batch, first, n))
                     first += n
             self._close(store, folder, stem, held, done)
         except BaseException:  # a failed attempt leaves no file behind
@@ -206,7 +207,14 @@ class TokenBinWriter(DataSourceArrowWriter):
         return Written(done)
 
     @staticmethod
-    def _ids(stem: str, tokens: pa.Array) -> np.ndarray:
+    def _ids(stem: str, batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+        """The ids of ``n`` rows of a shard, as the file stores them."""
+        if "packed" in batch.schema.names:
+            rows = batch.column("packed").slice(first, n)
+            if rows.null_count:
+                raise ValueError(f"shard {stem} holds a null part")
+            return np.frombuffer(b"".join(rows.to_pylist()), "<u2")
+        tokens = batch.column("tokens").slice(first, n).flatten()
         if tokens.null_count:
             raise ValueError(f"shard {stem} holds a null id")
         ids = tokens.to_numpy()
@@ -275,9 +283,10 @@ def register(spark: SparkSession) -> None:
 
 
 def write_shards(chunks: DataFrame, path: str, **options) -> None:
-    """Write ``(shard_stem, start_pos, tokens)`` rows as shard files."""
+    """Write ``(shard_stem, start_pos, tokens)`` or ``(shard_stem, start_pos, packed)`` rows as shard files."""
     register(chunks.sparkSession)
-    chunks.select("shard_stem", "start_pos", "tokens").repartition("shard_stem") \
+    ids = "packed" if "packed" in chunks.columns else "tokens"
+    chunks.select("shard_stem", "start_pos", ids).repartition("shard_stem") \
         .sortWithinPartitions("shard_stem", "start_pos") \
         .write.format("token_bin").mode("append").options(path=path, **options).save()
 
