@@ -182,12 +182,7 @@ SELECT step, micro, rank, count(*)::BIGINT AS n, sum(h)::BIGINT AS hash_sum,
 FROM hashed GROUP BY step, micro, rank
 """)
 def b13_bigram_hash(spark, sf_dir):
-    zero = F.lit(0).cast("long")
-    return _hashes(spark, sf_dir).select(
-        "step", "micro", "rank", F.size("h").cast("long").alias("n"),
-        F.aggregate("h", zero, lambda a, x: a + x).alias("hash_sum"),
-        F.aggregate(F.transform("h", lambda x, i: x * i), zero, lambda a, x: a + x).alias("hash_weighted"),
-        F.array_max("h").alias("hash_max"))
+    return cursor.slice_hash_sums(plan_a(spark, sf_dir), corpus.shard_files(spark, sf_dir))
 
 
 ROWS_PER_RANK = BIGRAM_VOCAB_SIZE // 8

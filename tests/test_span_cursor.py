@@ -84,6 +84,8 @@ def test_slices_as_by_the_chunk_join(spark, stored):
     hashed = spark.createDataFrame([(k, v[:-1]) for k, v in wanted.items()], "rank int, inputs array<int>")
     by_column = {r["rank"]: list(r["h"]) for r in hashed.select("rank", pk.bigram_hash(F.col("inputs")).alias("h")).collect()}
     assert {r["rank"]: list(r["h"]) for r in cursor.slice_hashes(plan, folder).collect()} == by_column
+    sums = {r["rank"]: (r["n"], r["hash_sum"], r["hash_weighted"], r["hash_max"]) for r in cursor.slice_hash_sums(plan, folder).collect()}
+    assert sums == {k: (len(h), sum(h), sum(i * x for i, x in enumerate(h)), max(h)) for k, h in by_column.items()}
 
 
 def test_no_token_array_is_exchanged(spark, stored):
