@@ -12,15 +12,15 @@ of ``documents``.
 5. best-fit packing: the pieces of all documents and their places in sequences.
 
 Decisions come back to the documents by row number, so rows that share an id,
-or have none, are kept or dropped one by one.  The numbers are written once with
-the rows and read from there, since a second reading of the same files may be
-split otherwise.  An empty input gives empty results in every stage.
+or have none, are kept or dropped one by one.  A row's number is its place in the
+Parquet files of ``docs``, which every reading agrees on.  An empty input gives
+empty results in every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardwright.llm import best_fit, exact_dedup, mixing, ngram_join, quality
@@ -28,11 +28,20 @@ from shardwright.llm.scratch import read_columns, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = "__row"
+ROWS_A_FILE = 36  # bits of the row number within a file
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a stored row number: every reading has the same, however its files are split."""
-    return stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "numbered")
+    """Documents with their place in the files they are read from: the same at every reading, however the files are split.
+
+    The number is the file's rank among the paths and the row's index in the file, so
+    no copy of the documents is written for it.
+    """
+    placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    names = placed.select("__file").distinct()
+    ranks = stage(names.select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).alias("__rank")), "files")
+    number = F.shiftleft(F.col("__rank").cast("long"), ROWS_A_FILE) + F.col("__index")
+    return placed.join(ranks, "__file").select(*COLUMNS, number.alias(ROW))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
