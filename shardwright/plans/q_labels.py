@@ -66,6 +66,11 @@ length(text) - length(replace(text, chr(10), '')) > 10 AS repetitive_templates,
 regexp_matches(text, '\\n[-*]') AS list_like_structure"""
 
 
+# every reported extreme with its labels
+LABELLED = WORK + f"""
+SELECT metric_name, best_or_worst, num, {_RULES} FROM ext_t"""
+
+
 @register("c2_c4_pattern_labels", f"""
 WITH {WORK}
 SELECT metric_name, best_or_worst, num, {_RULES} FROM work
