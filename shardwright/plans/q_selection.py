@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..constants import METRIC_COLUMNS, SELECTION_DIVISOR
+from ..constants import HEADER_TOKENS, METRIC_COLUMNS, NON_RANDOM_METRICS, SELECTION_DIVISOR
 from ..operators import selection as sel
 from ..operators import span_cursor as cursor
 from ..operators import spans as sp
+from ..operators.ordering import prefix_sum
 from ..registry import register
+from ..session import scratch_path
+from ..sources import files
+from ..sources import token_bin as tb
 from . import corpus
+from . import sql_parts as q
 from .q_index import SCORING
 from .params import TOP_N
 
@@ -114,6 +121,17 @@ def x4_split_files(spark, sf_dir):
         F.sum(F.col("end_idx") - F.col("start_idx")).cast("long").alias("n_tokens"))
 
 
+def _ranked_files(spark, sf_dir, metrics=None):
+    """Rows of every metric's selection files with their offsets inside the file."""
+    t = _trimmed(spark, sf_dir)
+    n = t.count()
+    kept = t.drop("input_ord", "has_enough_tokens", *[c for c in METRIC_COLUMNS if c not in (metrics or METRIC_COLUMNS)])
+    ranked = sel.rank_per_metric(sel.long_form(kept, metrics))
+    ranges = sel.split_files(ranked, n).withColumn("len", F.col("end_idx") - F.col("start_idx"))
+    # offsets inside each output file: prefix sum in rank order
+    return prefix_sum(ranges, "rank", "len", "out_offset", partition_cols=["metric", "file_no"])
+
+
 @register("x5_file_offsets", f"""
 WITH {METRICS},
 n AS (SELECT count(*) AS n FROM trimmed),
@@ -124,14 +142,44 @@ SELECT metric, file_no, shard_stem, start_idx,
 FROM files WHERE file_no <= 10
 """)
 def x5_file_offsets(spark, sf_dir):
-    from ..operators.ordering import prefix_sum
-    t = _trimmed(spark, sf_dir)
-    n = t.count()
-    ranked = sel.rank_per_metric(sel.long_form(t.drop("input_ord", "has_enough_tokens")))
-    files = sel.split_files(ranked, n).withColumn("len", F.col("end_idx") - F.col("start_idx"))
-    # offsets inside each output file: two-level prefix sum in rank order
-    out = prefix_sum(files, "rank", "len", "out_offset", partition_cols=["metric", "file_no"])
-    return out.select("metric", "file_no", "shard_stem", "start_idx", "out_offset")
+    return _ranked_files(spark, sf_dir).select("metric", "file_no", "shard_stem", "start_idx", "out_offset")
+
+
+_NR = ", ".join(f"'{m}'" for m in NON_RANDOM_METRICS)
+
+
+@register("x5_token_files", f"""
+WITH {METRICS},{q.STREAM_ROWS},
+n AS (SELECT count(*) AS n FROM trimmed),
+files AS (SELECT metric, ((rank - 1) // ((SELECT n FROM n) // 10) + 1)::INTEGER AS file_no, rank,
+                 shard_stem, start_idx - 512 AS start_idx, end_idx - 512 AS end_idx, end_idx - start_idx AS len FROM ranked
+          WHERE metric IN ({_NR})),
+placed AS (SELECT *, sum(len) OVER (PARTITION BY metric, file_no ORDER BY rank ROWS UNBOUNDED PRECEDING) - len AS out_offset
+           FROM files WHERE file_no <= 10)
+SELECT printf('%s_%02d', metric, file_no) AS file_stem, count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum,
+       sum(tok::HUGEINT * (out_offset + pos - start_idx))::BIGINT AS weighted_sum
+FROM placed p JOIN (SELECT *, printf('fineweb_%s_%06d', CASE WHEN shard_id = 0 THEN 'val' ELSE 'train' END, shard_id) AS shard_stem
+                    FROM token_rows) t
+     ON t.shard_stem = p.shard_stem AND t.pos >= p.start_idx AND t.pos < p.end_idx
+GROUP BY 1
+""")
+def x5_token_files(spark, sf_dir):
+    """The ranked training files of every geometry metric, written and read back."""
+    shards = corpus.shard_files(spark, sf_dir)
+    placed = _ranked_files(spark, sf_dir, NON_RANDOM_METRICS).select(
+        F.format_string("%s_%02d", "metric", "file_no").alias("file_stem"), "out_offset", "shard_stem",
+        *[(F.col(c) - HEADER_TOKENS).alias(c) for c in ("start_idx", "end_idx")])
+    cut = cursor.packed_spans(placed, shards).select(F.col("file_stem").alias("shard_stem"), F.col("out_offset").alias("start_pos"), "packed")
+    folder = scratch_path(spark, f"selected-{uuid.uuid4().hex}")
+    tb.write_long_shards(cut, folder)
+    files.delete_on_exit(spark, folder)
+    zero = F.lit(0).cast("long")
+    per = tb.read_shards(spark, folder + "/*.bin").select(
+        F.col("shard_stem").alias("file_stem"), F.size("tokens").alias("n"),
+        F.aggregate("tokens", zero, lambda a, x: a + x).alias("s"),
+        F.aggregate(F.transform("tokens", lambda x, i: x.cast("long") * (F.col("start_pos") + i)), zero, lambda a, x: a + x).alias("w"))
+    return per.groupBy("file_stem").agg(F.sum("n").cast("long").alias("n_tokens"), F.sum("s").cast("long").alias("token_sum"),
+                                        F.sum("w").cast("long").alias("weighted_sum"))
 
 
 EXTREMES = METRICS + f""",
@@ -194,9 +242,6 @@ SELECT shard_stem, start_idx, end_idx, has_enough_tokens, schatten_norm, CorrInt
 WHERE shard_stem LIKE 'fineweb_train%'
 """)
 def s8_s9_metrics_csv(spark, sf_dir):
-    import uuid
-
-    from ..session import scratch_path
     from ..sources import metrics as mx
     path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
     m = metrics_standin(spark, sf_dir)

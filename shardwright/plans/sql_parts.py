@@ -47,12 +47,13 @@ doc_tokens AS (SELECT doc_id AS doc_ord,
                       [50256] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INTEGER) AS toks
                FROM documents)"""
 
-# the whole token stream, one row per token with shard and position
-TOKEN_ROWS = PIECES + "," + DOC_TOKENS + """,
+# the whole token stream, one row per token with shard and position (after PIECES)
+STREAM_ROWS = DOC_TOKENS + """,
 doc_tok_rows AS (SELECT doc_ord, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM doc_tokens),
 token_rows AS (SELECT p.shard_id, p.shard_pos + (t.i - p.doc_start) AS pos, t.tok, t.doc_ord
                FROM pieces p JOIN doc_tok_rows t
                  ON t.doc_ord = p.doc_ord AND t.i >= p.doc_start AND t.i < p.doc_start + p.piece_len)"""
+TOKEN_ROWS = PIECES + "," + STREAM_ROWS
 
 # ---- batch plans ----------------------------------------------------------
 
@@ -150,8 +151,4 @@ uslices AS (SELECT ((call_base + k) // {grad_accum})::BIGINT AS step, ((call_bas
             FROM uk, range({world_size}) t(r))"""
 
 # token stream and training spans together
-TOKEN_ROWS_SPANS = TRAIN_SPANS + "," + DOC_TOKENS + """,
-doc_tok_rows AS (SELECT doc_ord, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM doc_tokens),
-token_rows AS (SELECT p.shard_id, p.shard_pos + (t.i - p.doc_start) AS pos, t.tok, t.doc_ord
-               FROM pieces p JOIN doc_tok_rows t
-                 ON t.doc_ord = p.doc_ord AND t.i >= p.doc_start AND t.i < p.doc_start + p.piece_len)"""
+TOKEN_ROWS_SPANS = TRAIN_SPANS + "," + STREAM_ROWS

@@ -48,6 +48,8 @@ from ..constants import HEADER_INTS, HEADER_TOKENS, SHARD_MAGIC, SHARD_VERSION,
 from . import stores
 
 HEADER_BYTES = HEADER_INTS * 4
+PART_TOKENS = 1 << 26  # tokens of a long file that one task writes
+COPY_BYTES = 1 << 23
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 CHUNK_SCHEMA = "shard_stem string, chunk_id int, start_pos long, tokens array<int>"
@@ -95,6 +97,12 @@ def check_header(path: str, n_bytes: int, opener: str | None = None) -> int:
     return n
 
 
+def _header(count: int) -> bytes:
+    header = np.zeros(HEADER_INTS, "<i4")
+    header[:3] = SHARD_MAGIC, SHARD_VERSION, count
+    return header.tobytes()
+
+
 def _stem(path: str) -> str:
     return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
@@ -230,12 +238,10 @@ class TokenBinWriter(DataSourceArrowWriter):
         count = sum(map(len, held))
         if count >= 2 ** 31:
             raise ValueError(f"shard {stem} has {count} ids; the header's count is a signed 32-bit integer")
-        header = np.zeros(HEADER_INTS, "<i4")
-        header[:3] = SHARD_MAGIC, SHARD_VERSION, count
         temporary = f"{folder}/.{stem}.bin.{uuid.uuid4().hex}.tmp"
         done.append((temporary, f"{folder}/{stem}.bin"))
         with store.open_output_stream(temporary) as out:
-            out.write(header)
+            out.write(_header(count))
             for ids in held:
                 out.write(ids)
 
@@ -291,6 +297,47 @@ def write_shards(chunks: DataFrame, path: str, **options) -> None:
         .write.format("token_bin").mode("append").options(path=path, **options).save()
 
 
+def write_long_shards(rows: DataFrame, path: str, part_tokens: int = PART_TOKENS) -> list[tuple[str, int]]:
+    """S5 for files of any length: ``(shard_stem, start_pos, tokens or packed)`` rows, start positions per file from 0.
+
+    A file's position ranges of ``part_tokens`` are written by separate tasks as part
+    files; then one task per file streams its parts, in order and behind a header with
+    their total, into the file.  No task holds more than a part and one row, and nothing
+    passes through the driver but names and counts, which are returned.
+    """
+    spark, staging = rows.sparkSession, f"{path.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+    part = F.format_string("%s.%012d", "shard_stem", F.floor(F.col("start_pos") / part_tokens))
+    write_shards(rows.withColumn("shard_stem", part), staging)
+    parts = header_inventory(spark, f"{staging}/*.bin").select(
+        F.regexp_extract("shard_stem", r"^(.*)\.\d+$", 1).alias("stem"), F.col("shard_stem").alias("part"), "n_tokens")
+    files = parts.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("part", "n_tokens"))).alias("parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = stores.open_store(path.rstrip("/"))
+        _, inside = stores.open_store(staging)
+        for batch in batches:
+            for row in batch.to_pylist():
+                count = sum(p["n_tokens"] for p in row["parts"])
+                if count >= 2 ** 31:
+                    raise ValueError(f"shard {row['stem']} has {count} ids; the header's count is a signed 32-bit integer")
+                temporary = f"{folder}/.{row['stem']}.bin.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(temporary) as out:
+                    out.write(_header(count))
+                    for p in row["parts"]:
+                        with store.open_input_file(f"{inside}/{p['part']}.bin") as source:
+                            source.seek(HEADER_BYTES)
+                            while block := source.read(COPY_BYTES):
+                                out.write(block)
+                store.move(temporary, f"{folder}/{row['stem']}.bin")
+                yield pa.RecordBatch.from_pylist([{"stem": row["stem"], "n_tokens": count}])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    done = files.repartition(n, "stem").mapInArrow(join, "stem string, n_tokens long").collect()
+    store, inside = stores.open_store(staging)
+    store.delete_dir(inside)
+    return sorted((r["stem"], r["n_tokens"]) for r in done)
+
+
 def read_shards(spark: SparkSession, files: str | list[str], **options) -> DataFrame:
     """Chunk rows of every file matching a pattern, or of the files of a list, in path order."""
     register(spark)

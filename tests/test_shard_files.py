@@ -143,3 +143,12 @@ def test_shards_cross_batches(spark, tmp_path):
     tb.write_shards(rows, str(tmp_path / "bin"))
     got = tb.read_shards(spark, str(tmp_path / "bin/*.bin")).orderBy("shard_stem").collect()
     assert [t for r in got for t in r["tokens"]] == list(range(5000))
+
+
+def test_long_files_are_joined_from_parts(spark, tmp_path):
+    rows = [(f"f_{f}", 7 * k, [100 * f + k] * 7) for f in range(3) for k in range(23 + f)]
+    frame = spark.createDataFrame(rows, CHUNKS).repartition(5)
+    assert tb.write_long_shards(frame, str(tmp_path / "bin"), part_tokens=16) == [(f"f_{f}", 7 * (23 + f)) for f in range(3)]
+    assert sorted(os.listdir(tmp_path / "bin")) == ["f_0.bin", "f_1.bin", "f_2.bin"]
+    got = tb.read_shards(spark, str(tmp_path / "bin/*.bin")).orderBy("shard_stem").collect()
+    assert [list(r["tokens"]) for r in got] == [[t for _, _, ts in rows[a:b] for t in ts] for a, b in ((0, 23), (23, 47), (47, 72))]
