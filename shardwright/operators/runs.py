@@ -206,6 +206,33 @@ def record_rule(mean: Column, p: Column, target: float, time_new: Column, time_p
     return (mean <= F.lit(target)) & (p < F.lit(0.01)) & (time_new < time_prior)
 
 
+def record_check(runs: DataFrame, records: DataFrame, baseline: str, target: float) -> DataFrame:
+    """R16 with R6, R17 and R18: which variants of ``(variant, run, loss, time_s)`` set a record.
+
+    The loss counts by its one-sided t-test against ``target``.  The prior time is the
+    best of the record table; the baseline variant is the prior record run again on this machine,
+    and what a variant gains on it is taken off the prior time.
+    """
+    tests = one_sample_t(runs, ["variant"], "loss", target).select(
+        "variant", "n", "mean", stats.p_less(F.col("t"), F.col("df")).alias("p"))
+    times = runs.groupBy("variant").agg(F.avg("time_s").alias("time_s"))
+    prior = record_progression(records).agg(F.min("best_so_far").alias("prior_minutes"))
+    again = times.where(F.col("variant") == baseline).select(F.col("time_s").alias("prior_again_s"))
+    rows = tests.join(times, "variant").crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(again))  # one row each
+    minutes = retime(F.col("prior_minutes"), F.col("prior_again_s") / 60, F.col("time_s") / 60)
+    return rows.withColumn("minutes", minutes).select(
+        "variant", "n", "mean", "p", "minutes", "prior_minutes",
+        record_rule(F.col("mean"), F.col("p"), target, F.col("minutes"), F.col("prior_minutes")).alias("is_record"))
+
+
+def time_to_target_summary(times: DataFrame, group: str, limit_ms: float) -> DataFrame:
+    """R15 per configuration: mean and deviation of its runs' times, PASS if all reached the target within the limit on average."""
+    agg = times.groupBy(group).agg(F.count(F.lit(1)).alias("n_runs"), F.avg("time_to_target_ms").alias("mean_ms"),
+                                   F.stddev_samp("time_to_target_ms").alias("std_ms"), F.bool_and("reached").alias("all_reached"))
+    passed = F.col("all_reached") & (F.col("mean_ms") <= limit_ms)
+    return agg.withColumn("verdict", F.when(passed, "PASS").otherwise("FAIL"))
+
+
 def loss_per_shard(shard_rows: DataFrame) -> DataFrame:
     """Loss per shard (rows) and experiment (columns); ``shard_rows`` from
     the loss-log view ``shards`` with ``run_id`` as the experiment name."""

@@ -232,3 +232,45 @@ def block_mask_counts(pairs: DataFrame, slice_keys: list[str], window_blocks: in
     n_part_cap = F.least(F.col("n_partial"), F.greatest(F.lit(window_blocks) - n_full_cap, F.lit(1)))
     return agg.select(*slice_keys, "q_blk", n_full_cap.cast("long").alias("n_full"),
                       n_part_cap.cast("long").alias("n_partial"))
+
+
+def block_mask_ranges(runs: DataFrame, slice_keys: list[str], block: int) -> DataFrame:
+    """D10 without pairs: per q block the kv blocks it needs, as two ranges and itself.
+
+    Document ids grow with position, so the kv blocks that share a document with block
+    ``q`` are those from the first block of ``q``'s first document on.  Full ones lie,
+    like ``q``, wholly inside one document: from its first whole block to ``q - 1``.  All
+    else, ``q`` itself included, is partial.  One equi-join of blocks with the run
+    that holds their first token; a slice of ``n`` blocks gives ``n`` rows, not
+    ``n * n`` pairs.  Returns ``q_blk, kv_first, full_first, full_stop``.
+    """
+    blocks = block_doc_ranges(runs, slice_keys, block)
+    own = runs.select(*slice_keys, F.col("doc_id").alias("doc_low"), "run_start")
+    q = blocks.join(own, [*slice_keys, "doc_low"])
+    first = F.floor(F.col("run_start") / block).cast("long")
+    whole = F.ceil(F.col("run_start") / block).cast("long")
+    full_first = F.when(F.col("doc_low") == F.col("doc_high"), F.least(whole, F.col("blk"))).otherwise(F.col("blk"))
+    return q.select(*slice_keys, F.col("blk").alias("q_blk"), first.alias("kv_first"), full_first.alias("full_first"),
+                    F.col("blk").alias("full_stop"))
+
+
+def _falling(first, stop):
+    """Blocks of ``[first, stop)``, nearest to the end first."""
+    return F.when(stop > first, F.sequence(stop - 1, first, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))
+
+
+def block_mask_lists(ranges: DataFrame, slice_keys: list[str], window_blocks: int | None = None,
+                     cap_blocks: int | None = None) -> DataFrame:
+    """D10 lists per q block, nearest first: ``full_kv`` and ``partial_kv``.
+
+    ``window_blocks`` keeps ``q - kv < w``; ``cap_blocks`` keeps the nearest ``w - 1``
+    full and the nearest ``max(w - full, 1)`` partial blocks.
+    """
+    q = F.col("q_blk")
+    low = F.lit(0).cast("long") if window_blocks is None else F.greatest(q - (window_blocks - 1), F.lit(0).cast("long"))
+    full = _falling(F.greatest("full_first", low), F.col("full_stop"))
+    partial = F.concat(F.array(q), _falling(F.greatest("kv_first", low), F.col("full_first")))
+    if cap_blocks is not None:
+        full = F.slice(full, 1, cap_blocks - 1) if cap_blocks > 1 else F.array().cast("array<long>")
+        partial = F.slice(partial, F.lit(1), F.greatest(F.lit(cap_blocks) - F.size(full), F.lit(1)))
+    return ranges.select(*slice_keys, "q_blk", full.alias("full_kv"), partial.alias("partial_kv"))

@@ -151,3 +151,48 @@ def d10_block_mask_counts(spark, sf_dir):
     keys = ["step", "micro", "rank"]
     blocks = sp.block_doc_ranges(_doc_runs(spark, sf_dir), keys, BLOCK)
     return sp.block_mask_counts(sp.block_pairs(blocks, keys), keys)
+
+
+PAIRS = BLOCKS + """,
+pairs AS (SELECT q.step, q.micro, q.rank, q.blk AS q_blk, kv.blk AS kv_blk,
+                 kv.blk < q.blk AND q.doc_low = q.doc_high AND kv.doc_low = kv.doc_high AND q.doc_low = kv.doc_low AS is_full
+          FROM blocks q JOIN blocks kv ON q.step = kv.step AND q.micro = kv.micro AND q.rank = kv.rank
+               AND kv.blk <= q.blk AND q.doc_low <= kv.doc_high)"""
+
+
+def _lists_sql(where: str) -> str:
+    return f"""SELECT step, micro, rank, q_blk,
+       coalesce(list(kv_blk ORDER BY kv_blk DESC) FILTER (WHERE is_full AND {where}), [])::BIGINT[] AS f,
+       list(kv_blk ORDER BY kv_blk DESC) FILTER (WHERE NOT is_full AND {where})::BIGINT[] AS p
+FROM pairs GROUP BY step, micro, rank, q_blk"""
+
+
+WINDOW_BLOCKS = 6
+
+
+@register("d10_block_window", f"""
+WITH {PAIRS}, w AS ({_lists_sql(f"q_blk - kv_blk < {WINDOW_BLOCKS}")})
+SELECT step, micro, rank, q_blk::BIGINT AS q_blk, f AS full_kv, p AS partial_kv FROM w
+""")
+def d10_block_window(spark, sf_dir):
+    """kv lists of every q block, nearest first, of the blocks less than the window away."""
+    keys = ["step", "micro", "rank"]
+    return sp.block_mask_lists(sp.block_mask_ranges(_doc_runs(spark, sf_dir), keys, BLOCK), keys, window_blocks=WINDOW_BLOCKS)
+
+
+_CAPPED = ", ".join(f"f[1:{w - 1}] AS full_{name}, p[1:greatest({w} - len(f[1:{w - 1}]), 1)] AS partial_{name}"
+                    for name, w in (("long", WINDOW_BLOCKS), ("short", WINDOW_BLOCKS // 2)))
+
+
+@register("d10_block_caps", f"""
+WITH {PAIRS}, w AS ({_lists_sql("true")})
+SELECT step, micro, rank, q_blk::BIGINT AS q_blk, {_CAPPED} FROM w
+""")
+def d10_block_caps(spark, sf_dir):
+    """kv lists capped by the long window and by half of it."""
+    keys = ["step", "micro", "rank"]
+    ranges = sp.block_mask_ranges(_doc_runs(spark, sf_dir), keys, BLOCK)
+    long, short = (sp.block_mask_lists(ranges, keys, cap_blocks=w).withColumnsRenamed(
+        {"full_kv": f"full_{name}", "partial_kv": f"partial_{name}"})
+        for name, w in (("long", WINDOW_BLOCKS), ("short", WINDOW_BLOCKS // 2)))
+    return long.join(short, [*keys, "q_blk"])

@@ -91,6 +91,25 @@ def r15_time_to_target(spark, sf_dir):
     return rn.time_to_target(run_log(spark, sf_dir), TARGET)
 
 
+RUNS_A_CONFIG, LIMIT_MS = 3, 60_000
+
+
+@register("r15_target_verdict", f"""
+WITH {RUNLOG},
+t AS (SELECT run_id, coalesce(min(train_time_ms) FILTER (WHERE val_loss <= {TARGET})::DOUBLE, 999999.0) AS ms,
+             count(*) FILTER (WHERE val_loss <= {TARGET}) > 0 AS reached FROM vals GROUP BY run_id),
+c AS (SELECT run_id::BIGINT // {RUNS_A_CONFIG} AS config, count(*) AS n_runs, avg(ms) AS mean_ms, stddev_samp(ms) AS std_ms,
+             bool_and(reached) AS all_reached FROM t GROUP BY 1)
+SELECT config::BIGINT AS config, n_runs::BIGINT AS n_runs, mean_ms, std_ms, all_reached,
+       CASE WHEN all_reached AND mean_ms <= {LIMIT_MS} THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c
+""")
+def r15_target_verdict(spark, sf_dir):
+    """Mean and deviation of the time to target over the runs of a configuration: three runs in a row here."""
+    times = rn.time_to_target(run_log(spark, sf_dir), TARGET)
+    return rn.time_to_target_summary(times.withColumn("config", F.floor(F.col("run_id").cast("long") / RUNS_A_CONFIG).cast("long")),
+                                     "config", LIMIT_MS)
+
+
 def final_losses(spark, sf_dir):
     """``(variant, run, loss, time_s)`` per (event type, user)."""
     ev = read_table(spark, sf_dir, "events", ["user_id", "event_type", "value"])
