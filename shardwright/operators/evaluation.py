@@ -8,13 +8,16 @@ scores are column arithmetic and joins afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import EVAL_DOC_LEN_MIN_AVERAGE
+from ..constants import BOS_ID, EVAL_DOC_LEN_MIN_AVERAGE
 from .ordering import global_row_number
 
 SHUFFLE_MUL = 2654435761  # Knuth's multiplicative hash constant
@@ -77,12 +80,12 @@ def pack(counted: DataFrame, seq_len: int) -> DataFrame:
     return counted.join(packed, ["rank", "task_id"])
 
 
-def ending_spans(packed: DataFrame) -> DataFrame:
+def ending_spans(packed: DataFrame, *keep: str) -> DataFrame:
     """One row per ending: ``[start, end)`` of the ending's targets.
 
     Before ending k of a task at offset ``L0`` there are the separators and
     ``ctx + ending - 1`` tokens of the previous endings; a separator precedes
-    every ending except the first of a sequence.
+    every ending except the first of a sequence.  ``keep`` names further columns.
     """
     ex = packed.select("*", F.posexplode("end_lens").alias("ending_id", "end_len"))
     c = F.col("ctx_len").cast("long")
@@ -95,7 +98,7 @@ def ending_spans(packed: DataFrame) -> DataFrame:
     start = pos + c - 1
     return ex.select("rank", "seq_no", "task_id", "label", F.col("ending_id").cast("int").alias("ending_id"),
                      start.cast("long").alias("span_start"), (start + F.col("end_len")).cast("long").alias("span_end"),
-                     pos.cast("long").alias("piece_start"))
+                     pos.cast("long").alias("piece_start"), *keep)
 
 
 def doc_end_positions(spans: DataFrame, seq_len: int) -> DataFrame:
@@ -114,6 +117,44 @@ def doc_end_positions(spans: DataFrame, seq_len: int) -> DataFrame:
     return per.select("rank", "seq_no", F.size("ends").cast("int").alias("n_separators"), padded.alias("doc_end_positions"))
 
 
+def byte_ids(text: str) -> list[int]:
+    return list(text.encode())
+
+
+def token_sequences(packed: DataFrame, seq_len: int, encode: Callable[[str], list[int]] = byte_ids, pad_id: int = 0) -> DataFrame:
+    """E2/E4/E5 tokens: ``rank, seq_no, inputs, targets`` of every packed sequence, each ``seq_len`` ids long.
+
+    Every ending brings its context and itself, shifted by one between inputs and
+    targets; a delimiter stands in both before every ending but a sequence's first, and
+    ``pad_id`` fills the end.  ``encode`` must be the encoder whose lengths were packed; a
+    piece that then overlaps the next one is an error.  A group is one sequence.
+    """
+    pieces = ending_spans(packed, "ctx", "endings")
+    piece = F.struct("piece_start", "ctx", F.concat(F.lit(" "), F.element_at("endings", F.col("ending_id") + 1)).alias("ending"))
+    grouped = pieces.groupBy("rank", "seq_no").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.full((2, batch.num_rows, seq_len), pad_id, np.int32)
+            for row, own in enumerate(batch.column("pieces").to_pylist()):
+                filled = 0
+                for p in own:
+                    ids, at = encode(p["ctx"]) + encode(p["ending"]), p["piece_start"]
+                    if at - (at > 0) != filled or at + len(ids) - 1 > seq_len:
+                        raise ValueError(f"a piece of {len(ids)} ids at {at} does not follow the {filled} before it")
+                    if at:
+                        both[:, row, at - 1] = BOS_ID
+                    filled = at + len(ids) - 1
+                    both[0, row, at:filled] = ids[:-1]
+                    both[1, row, at:filled] = ids[1:]
+            bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * seq_len)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rank"), batch.column("seq_no"), *(pa.ListArray.from_arrays(bounds, pa.array(x.ravel())) for x in both)],
+                names=["rank", "seq_no", "inputs", "targets"])
+
+    return grouped.mapInArrow(run, "rank int, seq_no int, inputs array<int>, targets array<int>")
+
+
 def score(spans: DataFrame, token_loss: DataFrame) -> DataFrame:
     """Mean target loss per ending; lowest mean wins, first on ties.
 

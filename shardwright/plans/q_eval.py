@@ -108,6 +108,32 @@ def e5_doc_end_positions(spark, sf_dir):
     return ev.doc_end_positions(_spans(spark, sf_dir), SEQ_LEN)
 
 
+@register("e4_token_sequences", f"""
+WITH RECURSIVE {TASKS},
+pcs AS (SELECT s.rank, s.seq_no, s.piece_start, list_transform(regexp_extract_all(
+               hex(encode(c.ctx || ' ' || c.endings[s.ending_id + 1])), '..'), lambda x: ('0x' || x)::BIGINT) AS ids
+        FROM spans s JOIN counted c USING (task_id)),
+tk AS (SELECT rank, seq_no, piece_start + i AS pos, ids[i + 1] AS inp, ids[i + 2] AS tgt
+       FROM (SELECT *, unnest(range(len(ids) - 1)) AS i FROM pcs)
+       UNION ALL SELECT rank, seq_no, piece_start - 1, 50256, 50256 FROM pcs WHERE piece_start > 0)
+SELECT rank, seq_no, {SEQ_LEN}::INTEGER AS n_ids, count(*)::INTEGER AS n_filled, sum(inp)::BIGINT AS input_sum,
+       sum(inp * pos)::BIGINT AS input_weighted, sum(tgt)::BIGINT AS target_sum, sum(tgt * pos)::BIGINT AS target_weighted
+FROM tk GROUP BY rank, seq_no
+""")
+def e4_token_sequences(spark, sf_dir):
+    """Checksums of the shifted, padded token sequences."""
+    packed = ev.pack(ev.token_counts(ev.assign_ranks(tasks(spark, sf_dir), WORLD, SEED)), SEQ_LEN)
+    zero = F.lit(0).cast("long")
+
+    def sums(c):
+        return [F.aggregate(c, zero, lambda a, x: a + x), F.aggregate(F.transform(c, lambda x, i: x.cast("long") * i), zero, lambda a, x: a + x)]
+
+    (a, b), (c, d) = sums("inputs"), sums("targets")
+    return ev.token_sequences(packed, SEQ_LEN).select(
+        "rank", "seq_no", F.size("targets").alias("n_ids"), F.size(F.filter("inputs", lambda x: x != 0)).alias("n_filled"),
+        a.alias("input_sum"), b.alias("input_weighted"), c.alias("target_sum"), d.alias("target_weighted"))
+
+
 def _token_loss(spark, sf_dir, spans):
     seqs = spans.select("rank", "seq_no").distinct()
     pos = seqs.select("rank", "seq_no", F.explode(F.sequence(F.lit(0), F.lit(SEQ_LEN - 1))).alias("pos"))
