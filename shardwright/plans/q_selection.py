@@ -171,8 +171,10 @@ def x5_token_files(spark, sf_dir):
         *[(F.col(c) - HEADER_TOKENS).alias(c) for c in ("start_idx", "end_idx")])
     cut = cursor.packed_spans(placed, shards).select(F.col("file_stem").alias("shard_stem"), F.col("out_offset").alias("start_pos"), "packed")
     folder = scratch_path(spark, f"selected-{uuid.uuid4().hex}")
-    tb.write_long_shards(cut, folder)
+    written = tb.write_long_shards(cut, folder)
     files.delete_on_exit(spark, folder)
+    if not written:  # too few documents for the selection files
+        return spark.createDataFrame([], "file_stem string, n_tokens long, token_sum long, weighted_sum long")
     zero = F.lit(0).cast("long")
     per = tb.read_shards(spark, folder + "/*.bin").select(
         F.col("shard_stem").alias("file_stem"), F.size("tokens").alias("n"),

@@ -308,6 +308,8 @@ def write_long_shards(rows: DataFrame, path: str, part_tokens: int = PART_TOKENS
     spark, staging = rows.sparkSession, f"{path.rstrip('/')}/_parts-{uuid.uuid4().hex}"
     part = F.format_string("%s.%012d", "shard_stem", F.floor(F.col("start_pos") / part_tokens))
     write_shards(rows.withColumn("shard_stem", part), staging)
+    if not stores.matching(f"{staging}/*.bin"):  # no rows, no files
+        return []
     parts = header_inventory(spark, f"{staging}/*.bin").select(
         F.regexp_extract("shard_stem", r"^(.*)\.\d+$", 1).alias("stem"), F.col("shard_stem").alias("part"), "n_tokens")
     files = parts.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("part", "n_tokens"))).alias("parts"))

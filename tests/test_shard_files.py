@@ -152,3 +152,4 @@ def test_long_files_are_joined_from_parts(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "bin")) == ["f_0.bin", "f_1.bin", "f_2.bin"]
     got = tb.read_shards(spark, str(tmp_path / "bin/*.bin")).orderBy("shard_stem").collect()
     assert [list(r["tokens"]) for r in got] == [[t for _, _, ts in rows[a:b] for t in ts] for a, b in ((0, 23), (23, 47), (47, 72))]
+    assert tb.write_long_shards(frame.where("start_pos < 0"), str(tmp_path / "none")) == []
