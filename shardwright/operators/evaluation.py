@@ -202,6 +202,24 @@ def weighted_loss(pos: Column, loss: Column, weights: list[float]) -> Column:
     return F.element_at(w, (F.pmod(pos, F.lit(len(weights))) + 1).cast("int")) * loss
 
 
+def lookahead_loss(losses: DataFrame, weights: list[float], keys: list[str]) -> DataFrame:
+    """E9, look-ahead form: ``sum_k w[k] * loss(pos, pos + k)`` per position, cut at the end of its sequence.
+
+    ``losses(keys..., pos, target_pos, loss)`` holds the loss at ``pos`` of the target at
+    ``target_pos``; every position has at least its own target's.  A band of offsets meets
+    the losses in one equi-join; a loss that is missing inside the sequence is an error.
+    """
+    positions = losses.where("pos = target_pos").select(*keys, "pos")
+    ends = positions.groupBy(*keys).agg((F.max("pos") + 1).alias("__end"))
+    offsets = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)])
+    band = positions.join(ends, keys).select(*keys, "pos", "__end", F.explode(offsets).alias("o")).select(
+        *keys, "pos", (F.col("pos") + F.col("o.k")).alias("target_pos"), F.col("o.w").alias("w"), "__end").where("target_pos < __end")
+    missing = F.raise_error(F.concat(F.lit("no loss of position "), F.col("pos").cast("string"), F.lit(" at target "),
+                                     F.col("target_pos").cast("string"))).cast("double")
+    met = band.join(losses.select(*keys, "pos", "target_pos", "loss"), [*keys, "pos", "target_pos"], "left")
+    return met.groupBy(*keys, "pos").agg(F.sum(F.col("w") * F.coalesce("loss", missing)).alias("loss"))
+
+
 def log_prob_bound(loss: Column, n_tokens: Column) -> Column:
     """Log of ``exp(-loss * tokens)``."""
     return -loss * n_tokens

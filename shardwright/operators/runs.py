@@ -171,9 +171,45 @@ def bootstrap_t(runs: DataFrame, ord_col: str, value: str, n_rows: int, n_sample
     return s.withColumn("p", stats.p_less(F.col("t"), F.col("df")))
 
 
-def bootstrap_summary(samples: DataFrame, level: float = 0.01) -> DataFrame:
-    """Mean / max / variance of p and the share below ``level``."""
-    return samples.agg(F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), F.var_samp("p").alias("var_p"),
+MIX = (2246822519, 3266489917)  # odd multipliers of a public 32-bit finaliser
+
+
+def _times32(a: Column, factor: int) -> Column:
+    """``a * factor`` modulo 2**32 for 32-bit values, without overflow of a long."""
+    two32 = F.lit(1 << 32).cast("long")
+    return F.pmod(F.pmod(a * (factor >> 16), two32) * 65536 + a * (factor & 0xFFFF), two32)
+
+
+def mixed32(x: Column) -> Column:
+    """A 32-bit hash of a non-negative number below 2**32, in integer arithmetic that SQL can repeat."""
+    h = _times32(x.bitwiseXOR(F.shiftright(x, 15)), MIX[0])
+    h = _times32(h.bitwiseXOR(F.shiftright(h, 13)), MIX[1])
+    return h.bitwiseXOR(F.shiftright(h, 16))
+
+
+def bootstrap_variants(runs: DataFrame, group: str, ord_col: str, value: str, n_samples: int, sample_size: int,
+                       target: float, seed: int = 0) -> DataFrame:
+    """R10 for every group at once: ``n_samples`` resamples of ``sample_size`` of its runs, with replacement.
+
+    ``ord_col`` counts a group's runs from 1.  Draw ``j`` of a sample is a hash of (seed,
+    sample, j) scaled to the group's size; all groups share one draw table, one
+    equi-join and one aggregate.  One t and p per (group, sample).
+    """
+    sizes = runs.groupBy(group).agg(F.max(ord_col).alias("__size"))
+    draws = runs.sparkSession.range(n_samples * sample_size).select(
+        F.floor(F.col("id") / sample_size).alias("sample"), mixed32(F.col("id") + seed * n_samples * sample_size).alias("__h"))
+    # one row per group beside the draws: a product of two parameters and the number of variants
+    picked = draws.crossJoin(F.broadcast(sizes)).withColumn(
+        ord_col, F.shiftright(F.col("__h") * F.col("__size"), 32) + 1)
+    s = picked.join(runs.select(group, F.col(ord_col).cast("long").alias(ord_col), value), [group, ord_col]).groupBy(group, "sample").agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    t = t_statistic(F.col("mean"), F.col("std"), F.col("n"), target)
+    return s.withColumn("t", t).withColumn("p", stats.p_less(F.col("t"), (F.col("n") - 1).cast("double")))
+
+
+def bootstrap_summary(samples: DataFrame, level: float = 0.01, group: list[str] | None = None) -> DataFrame:
+    """Mean / max / variance of p and the share below ``level``, over all samples or per group."""
+    return samples.groupBy(*(group or [])).agg(F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), F.var_samp("p").alias("var_p"),
                        F.avg((F.col("p") < level).cast("double")).alias("share_below"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..constants import TARGET_LOSS_SHORT
@@ -24,7 +25,7 @@ from ..sources.tables import read_table
 from .params import TOP_N
 from .q_eval import TASKS, tasks
 from .q_labels import _RULES, WORK, _work
-from .q_runs import BASELINE_VARIANT, FINAL, RUNLOG, final_losses, run_log
+from .q_runs import BASELINE_VARIANT, FINAL, P_LESS, RUNLOG, final_losses, run_log
 from .q_selection import EXTREMES, extremes_query
 
 SCHEDULE = [0.25, 0.5, 0.75, 1.0, 0.5]
@@ -51,6 +52,27 @@ def e9_weighted_loss(spark, sf_dir):
         "event_id", ev.weighted_loss(F.col("event_id"), 3 + F.col("value") / 1000, SCHEDULE).alias("weighted"))
 
 
+LOOKAHEAD = [4.0, 2.0, 1.0]  # whole numbers, so that equal sums round alike in every order
+
+
+@register("e9_lookahead_loss", f"""
+WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)
+SELECT a.user_id, a.pos::BIGINT AS pos,
+       sum([{", ".join(map(str, LOOKAHEAD))}][b.pos - a.pos + 1]::DOUBLE * (3 + abs(a.value - b.value) / 1000)) AS loss
+FROM e a JOIN e b ON a.user_id = b.user_id AND b.pos >= a.pos AND b.pos < a.pos + {len(LOOKAHEAD)}
+GROUP BY a.user_id, a.pos
+""")
+def e9_lookahead_loss(spark, sf_dir):
+    """A user's events in order are a sequence; the loss of a target is a distance of two events' values."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    ahead = F.array(*[F.lead("value", k).over(w) for k in range(len(LOOKAHEAD))])
+    rows = events(spark, sf_dir).select("user_id", "value", (F.row_number().over(w) - 1).cast("long").alias("pos"),
+                                        ahead.alias("ahead"))
+    losses = rows.select("user_id", "pos", "value", F.posexplode("ahead").alias("k", "other")).where("other IS NOT NULL").select(
+        "user_id", "pos", (F.col("pos") + F.col("k")).alias("target_pos"), (3 + F.abs(F.col("value") - F.col("other")) / 1000).alias("loss"))
+    return ev.lookahead_loss(losses, LOOKAHEAD, ["user_id"])
+
+
 @register("h6_index_schedule", f"""
 SELECT event_id, [{", ".join(map(str, SCHEDULE))}][least(floor({len(SCHEDULE)} * (event_id % 60) / {SCHEDULE_TOTAL}::DOUBLE), {len(SCHEDULE) - 1})::INTEGER + 1]::DOUBLE AS weight
 FROM events
@@ -217,19 +239,11 @@ def r19_contributors(spark, sf_dir):
     return rn.contributor_counts(record_rows(spark, sf_dir))
 
 
-# one-sided p of a negative or positive t: Simpson's rule over the t density from 0 to |t|
-_P_LESS = """
-SELECT *, 0.5 + sign(t) * (abs(t) / 4000 / 3) * list_sum(list_transform(range(4001), lambda k:
-       (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
-       * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + (k * abs(t) / 4000) ^ 2 / df)))) AS p
-FROM tt"""
-
-
 @register("r16_r18_record_rule", f"""
 WITH {FINAL}, {RECORDS},
 tt AS (SELECT variant, count(*) AS n, avg(loss) AS mean, avg(time_s) AS time_s, (count(*) - 1)::DOUBLE AS df,
               (avg(loss) - {RECORD_TARGET}) / (stddev_samp(loss) / sqrt(count(*))) AS t FROM fl GROUP BY variant),
-tested AS ({_P_LESS}),
+tested AS ({P_LESS}),
 x AS (SELECT *, (SELECT min(minutes) FROM rec) AS prior_minutes,
              (SELECT min(minutes) FROM rec) - ((SELECT time_s FROM tt WHERE variant = '{BASELINE_VARIANT}') / 60 - time_s / 60) AS minutes
       FROM tested)

@@ -122,6 +122,14 @@ fl AS (SELECT event_type AS variant, user_id AS run, 3.2 + avg(value) / 1000.0 A
        FROM events GROUP BY event_type, user_id)"""
 
 
+# one-sided p of ``tt(t, df, ...)``: Simpson's rule over the t density from 0 to |t|
+P_LESS = """
+SELECT *, 0.5 + sign(t) * (abs(t) / 4000 / 3) * list_sum(list_transform(range(4001), lambda k:
+       (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+       * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + (k * abs(t) / 4000) ^ 2 / df)))) AS p
+FROM tt"""
+
+
 @register("r4_r5_summary", f"""
 WITH {FINAL}
 SELECT variant, count(loss)::BIGINT AS n, avg(loss) AS mean, stddev_samp(loss) AS std,
@@ -204,3 +212,33 @@ def r10_bootstrap(spark, sf_dir):
     runs = _ordered_variant(spark, sf_dir)
     n = runs.count()
     return rn.bootstrap_summary(rn.bootstrap_t(runs, "run_ord", "loss", n, 1000, 40, TARGET, seed=0))
+
+
+def _times32_sql(a: str, factor: int) -> str:
+    return f"((({a}) * {factor >> 16} % 4294967296) * 65536 + ({a}) * {factor & 0xFFFF}) % 4294967296"
+
+
+N_SAMPLES, SAMPLE_SIZE = 1000, 40
+
+
+@register("r10_bootstrap_variants", f"""
+WITH {FINAL},
+o AS (SELECT variant, loss, row_number() OVER (PARTITION BY variant ORDER BY run) AS run_ord FROM fl),
+sz AS (SELECT variant, count(*) AS n_runs FROM o GROUP BY variant),
+h0 AS (SELECT id, {_times32_sql("xor(id, id >> 15)", rn.MIX[0])} AS h FROM range({N_SAMPLES * SAMPLE_SIZE}) t(id)),
+h1 AS (SELECT id, {_times32_sql("xor(h, h >> 13)", rn.MIX[1])} AS h FROM h0),
+draws AS (SELECT id // {SAMPLE_SIZE} AS sample, variant, ((xor(h, h >> 16) * n_runs) >> 32) + 1 AS run_ord FROM h1, sz),
+tt AS (SELECT variant, sample, (count(*) - 1)::DOUBLE AS df,
+              (avg(loss) - {TARGET}) / (stddev_samp(loss) / sqrt(count(*))) AS t
+       FROM draws JOIN o USING (variant, run_ord) GROUP BY variant, sample),
+p AS ({P_LESS})
+SELECT variant, round(avg(p), 6) AS mean_p, round(max(p), 6) AS max_p, round(var_samp(p), 6) AS var_p,
+       avg((p < 0.01)::INTEGER::DOUBLE) AS share_below
+FROM p GROUP BY variant
+""")
+def r10_bootstrap_variants(spark, sf_dir):
+    """The bootstrap of the loss test for every event type."""
+    runs = global_row_number(final_losses(spark, sf_dir), [F.col("run").asc()], "run_ord", partition_cols=["variant"])
+    samples = rn.bootstrap_variants(runs, "variant", "run_ord", "loss", N_SAMPLES, SAMPLE_SIZE, TARGET)
+    out = rn.bootstrap_summary(samples, group=["variant"])
+    return out.select("variant", *[F.round(c, 6).alias(c) for c in ("mean_p", "max_p", "var_p")], "share_below")
