@@ -123,6 +123,17 @@ def with_p_values(vs: DataFrame) -> DataFrame:
     return vs.select("*", p_loss.alias("p_loss"), p_time.alias("p_time"), stars.alias("stars"))
 
 
+def step_sweep(runs: DataFrame, baseline: str, target: float) -> DataFrame:
+    """Per variant of ``(variant, run, steps, loss)`` its mean steps, their difference from the baseline's, and
+    the one-sided p of its loss against ``target`` with stars (``*`` below 0.05, ``**`` below 0.01)."""
+    steps = runs.groupBy("variant").agg(F.avg("steps").alias("steps"))
+    base = steps.where(F.col("variant") == baseline).select(F.col("steps").alias("b_steps"))
+    tests = one_sample_t(runs, ["variant"], "loss", target).withColumn("p", stats.p_less(F.col("t"), F.col("df")))
+    stars = F.when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise("")
+    return tests.join(steps, "variant").crossJoin(F.broadcast(base)).select(  # one baseline row
+        "variant", "n", "steps", (F.col("steps") - F.col("b_steps")).alias("delta_steps"), "mean", "p", stars.alias("stars"))
+
+
 def histogram(df: DataFrame, value: str, lo: float, hi: float, n_bins: int) -> DataFrame:
     """Equal-width histogram counts."""
     b = F.least(F.greatest(F.floor((F.col(value) - lo) / ((hi - lo) / n_bins)), F.lit(0)), F.lit(n_bins - 1))

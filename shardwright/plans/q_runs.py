@@ -180,6 +180,28 @@ def r13_r14_p_values(spark, sf_dir):
     return rn.with_p_values(rn.variant_vs_baseline(final_losses(spark, sf_dir), BASELINE_VARIANT, TARGET))
 
 
+SWEEP_TARGET = 3.2525
+
+
+@register("r14_step_sweep", f"""
+WITH r AS (SELECT event_type AS variant, user_id, count(*) AS steps, 3.2 + avg(value) / 1000.0 AS loss
+           FROM events GROUP BY event_type, user_id),
+tt AS (SELECT variant, count(*) AS n, avg(steps) AS steps, avg(loss) AS mean, (count(*) - 1)::DOUBLE AS df,
+              (avg(loss) - {SWEEP_TARGET}) / (stddev_samp(loss) / sqrt(count(*))) AS t FROM r GROUP BY variant),
+tested AS ({P_LESS})
+SELECT variant, n::BIGINT AS n, steps, steps - (SELECT steps FROM tt WHERE variant = '{BASELINE_VARIANT}') AS delta_steps, mean,
+       round(greatest(p, 0.0), 5) AS p, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars
+FROM tested
+""")
+def r14_step_sweep(spark, sf_dir):
+    """Step counts of the event types against the baseline's, with the loss test's stars."""
+    ev = read_table(spark, sf_dir, "events", ["user_id", "event_type", "value"])
+    runs = ev.groupBy(F.col("event_type").alias("variant"), F.col("user_id").alias("run")).agg(
+        F.count(F.lit(1)).alias("steps"), (F.lit(3.2) + F.avg("value") / 1000.0).alias("loss"))
+    out = rn.step_sweep(runs, BASELINE_VARIANT, SWEEP_TARGET)
+    return out.withColumn("p", F.round(F.greatest("p", F.lit(0.0)), 5))
+
+
 @register("r20_loss_histogram", f"""
 WITH {FINAL}
 SELECT least(greatest(floor((loss - 3.2) / (0.3 / 30)), 0), 29)::INTEGER AS bin, count(*)::BIGINT AS n
