@@ -25,9 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
-    This cuts the lineage with a table that survives lost executors, and
-    computes the rows once (``checkpoint()`` runs its input twice).  The table
-    is dropped when the driver's JVM ends.
+    This cuts the lineage with a table that survives lost executors, in a
+    columnar form whose unused columns later readers skip.  The table is dropped
+    when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
