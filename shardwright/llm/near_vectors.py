@@ -1,33 +1,35 @@
-"""Embedding near-dedup by counting collisions in the tails of one-dimensional projections.
-
-This is not the collision counting that sorts every projection, counts in windows
-centred on the query over all of them and calibrates the count: projections are
-not sorted, vectors meet by hash on pairs of their top signed directions (as in
-cross-polytope hashing), ``COUNT`` is fixed and the number of tails is calibrated.
-
-Every vector is projected on many random directions (each with both signs).
-On most of them a window around a vector holds a large part of the table; in
-the tails it holds few others.  So a vector looks only at the ``tails``
-directions on which it lies furthest out, where a vector of cosine 0.9 mostly
-lies far out too.  Two vectors collide on a direction if it is among the tails
-of both and their projections lie within a window of each other.
-
-A pair must collide at least ``COUNT`` (2) times.  Vectors are therefore dealt
-by the *pairs* of their tail directions: every pair of vectors with two common
-tails meets there, and one that has more is judged only where its two smallest
-common directions meet.  Inside, rows are sorted, the collisions of a pair are
-counted over all its common directions, and pairs with enough of them are
-verified by their exact cosine in double precision.
-
-``tails`` is calibrated: of a bounded sample of vectors, each with a random
-partner at exactly the threshold, the smallest number that finds the wanted
-share is taken.  The number of directions grows with the square root of the
-table, which keeps the number of chance meetings per vector constant.
+"""Embedding near-dedup by counting collisions in windows of sorted projections.
+
+Every vector is projected on many random directions (each with both signs) and
+every projection is sorted.  Around a vector lies a window: the values of that
+direction at most ``window`` away.  Two vectors collide on a direction if one
+lies in the other's window; a pair that collides at least ``count`` times over
+all directions is verified by its exact cosine in double precision.
+
+In the middle of a projection a window holds a large part of the table, in the
+tails few vectors.  So a vector is entered, as query and as candidate, only on
+the ``tails`` signed directions on which it lies furthest out, where a vector
+of cosine 0.9 mostly lies far out too.
+
+All entries are sorted together by direction and value, with a mark where each
+entry's window ends; their numbers in that one range-partitioned order give the
+window of every entry as an interval.  The order is cut into blocks of bounded
+length.  An entry goes to its own block's task and to a task of its own with
+each later block that its window reaches, so a direction on which a large
+cluster lies is split like any other.  There the collisions of each pair of a
+window are counted over all their common directions, and the pair is judged
+only on the smallest direction of its collisions.
+
+``tails`` and ``count`` are calibrated: a bounded sample of vectors each gets a
+random partner at exactly the threshold; the count is the largest that finds
+the wanted share of them, and the tails are the fewest whose count is at least
+``LEAST_COUNT``.  The number of directions grows with the square root of the
+table.  They are made in slices of ``SLICE``; of each the best tails so far are
+kept, so memory grows neither with their number nor with the table.
 
 Copies of a vector are merged first and count with their number.  Links are
 counted where they are found and only the counts and the edges to the smallest
-id of each local cluster are written, not the pairs; a large group is cut into
-blocks, and every two blocks meet in a task of their own.
+id of each local cluster are written, not the pairs.
 
 Null, zero and non-finite vectors, and vectors with null components, link with
 nothing; null ids never become a component's id unless alone.  Vectors of
@@ -38,75 +40,93 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import global_row_number
 from .components import components
 from .scratch import stage
 
-COUNT = 2
+LEAST_COUNT = 2
 WINDOW = 2.6  # in standard deviations of the difference of two projections at the threshold
 RECALL = 0.97
 SAMPLE = 2000
 MOST_TAILS = 24
-BLOCK = 2048
+BLOCK = 4096  # entries and window ends
 PAIRS_AT_ONCE = 100_000
+SLICE = 512
+KEPT_SLICES = 16
 
 
-def directions(dim: int, n: int) -> np.ndarray:
-    return np.random.default_rng([dim, n, 17]).standard_normal((dim, n))
+@lru_cache(maxsize=KEPT_SLICES)
+def directions(dim: int, at: int, n: int) -> np.ndarray:
+    """``n`` directions from number ``at`` on, a multiple of ``SLICE``."""
+    return np.random.default_rng([dim, at, 17]).standard_normal((dim, n))
 
 
 def n_directions(n_vectors: int) -> int:
-    """Directions so that chance meetings stay few: a power of two near 4 * sqrt(14 n)."""
+    """Directions so that windows stay small: a power of two near 4 * sqrt(14 n)."""
     return 1 << max(6, math.ceil(math.log2(4 * math.sqrt(14 * max(1, n_vectors)))) - 1)
 
 
-def tails_of(unit: np.ndarray, axes: np.ndarray, tails: int) -> tuple[np.ndarray, np.ndarray]:
+def tails_of(unit: np.ndarray, n_axes: int, tails: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers (ascending) and values of the ``tails`` signed directions a vector lies furthest out on."""
-    p = unit @ axes
-    size = np.abs(p)
-    top = np.argpartition(-size, tails - 1, axis=1)[:, :tails]
-    value = np.take_along_axis(p, top, 1)
-    number = 2 * top + (value < 0)
+    number = np.zeros((len(unit), 0), np.int64)
+    value = np.zeros((len(unit), 0))
+    for at in range(0, n_axes, SLICE):
+        p = unit @ directions(unit.shape[1], at, min(SLICE, n_axes - at))
+        mine = min(tails, p.shape[1])
+        top = np.argpartition(-np.abs(p), mine - 1, axis=1)[:, :mine]
+        of = np.take_along_axis(p, top, 1)
+        number = np.concatenate([number, 2 * (top + at) + (of < 0)], 1)
+        value = np.concatenate([value, np.abs(of)], 1)
+        if number.shape[1] > tails:
+            best = np.argpartition(-value, tails - 1, axis=1)[:, :tails]
+            number, value = np.take_along_axis(number, best, 1), np.take_along_axis(value, best, 1)
     order = np.argsort(number, axis=1)
-    return np.take_along_axis(number, order, 1), np.abs(np.take_along_axis(value, order, 1))
+    return np.take_along_axis(number, order, 1), np.take_along_axis(value, order, 1)
 
 
-def collisions(na, va, nb, vb, window: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair: number of collisions, and its two smallest common directions (-1: none)."""
-    same = na[:, :, None] == nb[:, None, :]
-    close = same & (np.abs(va[:, :, None] - vb[:, None, :]) <= window)
-    common = same.any(axis=2)
-    order = np.cumsum(common, axis=1)
-    first = np.where(common & (order == 1), na, -1).max(axis=1)
-    second = np.where(common & (order == 2), na, -1).max(axis=1)
-    return close.sum(axis=(1, 2)), first, second
+def collisions(na, va, nb, vb, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair: number of collisions, and the smallest direction with one (-1: none)."""
+    hits, first = np.zeros(len(na), np.int64), np.full(len(na), -1, np.int64)
+    for t in range(na.shape[1]):
+        v = va[:, t, None]
+        close = ((nb == na[:, t, None]) & (np.maximum(v, vb) <= np.minimum(v, vb) + window)).any(axis=1)
+        hits += close
+        first = np.where(close & (first < 0), na[:, t], first)
+    return hits, first
 
 
 def window_of(threshold: float) -> float:
     return WINDOW * math.sqrt(2 - 2 * threshold)
 
 
-def calibrated_tails(sample: np.ndarray, n_axes: int, threshold: float, recall: float = RECALL) -> int:
-    """The fewest tails that find ``recall`` of random partners at the threshold; an error if ``MOST_TAILS`` do not."""
-    dim = sample.shape[1]
-    axes = directions(dim, n_axes)
-    most = min(MOST_TAILS, n_axes)
-    if not len(sample) or dim == 1:
-        return min(2, most)
-    noise = np.random.default_rng(5).standard_normal(sample.shape)
+def partners(sample: np.ndarray, threshold: float, seed: int = 5) -> np.ndarray:
+    """To each unit row a random unit row at exactly the threshold."""
+    noise = np.random.default_rng(seed).standard_normal(sample.shape)
     noise -= (noise * sample).sum(1, keepdims=True) * sample
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
-    partner = threshold * sample + math.sqrt(1 - threshold ** 2) * noise
-    for tails in range(COUNT, most + 1):
-        found = collisions(*tails_of(sample, axes, tails), *tails_of(partner, axes, tails), window_of(threshold))[0]
-        if (found >= COUNT).mean() >= recall:
-            return tails
-    raise ValueError(f"{most} tails of {n_axes} directions find {(found >= COUNT).mean():.3f} of the pairs "
+    return threshold * sample + math.sqrt(1 - threshold ** 2) * noise
+
+
+def calibrated(sample: np.ndarray, n_axes: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """``tails, count``: the fewest tails whose largest count that finds ``recall`` of random partners at the
+    threshold is at least ``LEAST_COUNT``; an error if ``MOST_TAILS`` do not."""
+    most = min(MOST_TAILS, n_axes)
+    if not len(sample) or sample.shape[1] == 1:
+        return min(2, most), 1
+    partner = partners(sample, threshold)
+    for tails in range(LEAST_COUNT, most + 1):
+        found = collisions(*tails_of(sample, n_axes, tails), *tails_of(partner, n_axes, tails), window_of(threshold))[0]
+        count = int(np.sort(found)[math.floor((1 - recall) * len(found))])
+        if count >= LEAST_COUNT:
+            return tails, count
+    raise ValueError(f"{most} tails of {n_axes} directions find {(found >= LEAST_COUNT).mean():.3f} of the pairs "
                      f"at cosine {threshold}, not {recall}")
 
 
@@ -130,40 +150,61 @@ def by_length(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield dim, np.flatnonzero(lengths == dim)
 
 
-def meetings(reps: DataFrame, n_axes: int, tails: int) -> DataFrame:
-    """``rep, n, numbers, values, vector, keys``: a row per distinct vector with the places where it meets others."""
-    left, right = np.triu_indices(tails, 1)
+def projected(reps: DataFrame, n_axes: int, tails: int) -> DataFrame:
+    """``rep, n, dim, numbers, values, unit``: a row per distinct vector with its entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, rows in by_length(batch.column("vector")):
                 part = batch.take(pa.array(rows))
                 unit = rows_of(part.column("vector"))
-                number, value = tails_of(unit, directions(dim, n_axes), tails)
-                keys = (dim << 44) + (number[:, left] << 22) + number[:, right]
+                number, value = tails_of(unit, n_axes, tails)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("n"), pa.array(list(number)),
-                     pa.array(list(value)), pa.array([u.tobytes() for u in unit]),
-                     pa.array(list(keys))], names=["rep", "n", "numbers", "values", "unit", "keys"])
-
-    return reps.mapInArrow(run, "rep long, n long, numbers array<long>, values array<double>, unit binary, keys array<long>")
-
-
-def pair_numbers(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs of neighbours-in-key, in bounded portions; rows are sorted by key."""
-    first, held, size = np.arange(len(key)), [], 0
-    for step in range(1, len(key)):
-        first = first[first < len(key) - step]
-        first = first[key[first] == key[first + step]]
-        if not len(first):
-            break
-        held.append((first, first + step))
-        size += len(first)
-        if size >= PAIRS_AT_ONCE:
-            yield tuple(np.concatenate(c) for c in zip(*held))
-            held, size = [], 0
-    if held:
-        yield tuple(np.concatenate(c) for c in zip(*held))
+                    [part.column("rep"), part.column("n"), pa.array(np.full(len(rows), dim)), pa.array(list(number)),
+                     pa.array(list(value)), pa.array([u.tobytes() for u in unit])],
+                    names=["rep", "n", "dim", "numbers", "values", "unit"])
+
+    return reps.mapInArrow(run, "rep long, n long, dim long, numbers array<long>, values array<double>, unit binary")
+
+
+def windows(places: DataFrame, window: float) -> DataFrame:
+    """``rep, number, pos, until``: every entry's place in the order of all projections, and its window's end."""
+    entry = F.explode(F.arrays_zip("numbers", "values"))
+    entries = places.select("rep", "dim", entry.alias("e")).select(
+        "rep", "dim", F.col("e.numbers").alias("number"), F.col("e.values").alias("value"))
+    marks = entries.withColumn("mark", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "value", F.when(F.col("mark") == 1, F.col("value") + F.lit(window)).otherwise(F.col("value")))
+    order = [F.col(c).asc() for c in ("dim", "number", "value", "mark", "rep")]
+    numbered = global_row_number(marks, order, "at")
+    return numbered.groupBy("dim", "number", "rep").agg(
+        F.max(F.when(F.col("mark") == 0, F.col("at"))).alias("pos"),
+        F.max(F.when(F.col("mark") == 1, F.col("at"))).alias("until")).select("rep", "number", "pos", "until")
+
+
+def dealt(entries: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of every task ``a, b``: entries of block ``a`` whose windows reach ``b``, and those of block ``b``."""
+    cut = entries.withColumn("block", F.floor(F.col("pos") / BLOCK)).withColumn("last", F.floor(F.col("until") / BLOCK))
+    asking = cut.select("rep", "number", "pos", "until", F.col("block").alias("a"),
+                        F.explode(F.sequence("block", "last")).alias("b"))
+    reach = cut.groupBy("block").agg(F.max("last").alias("last")).filter("last > block").select(
+        F.col("block").alias("a"), F.explode(F.sequence(F.col("block") + 1, F.col("last"))).alias("b"))
+    asked = cut.join(reach, F.col("block") == F.col("b")).select("rep", "number", "pos", "until", "a", "b")
+    return asking.unionByName(asked).join(places.select("rep", "n", "numbers", "values", "unit"), "rep")
+
+
+def pair_numbers(pos: np.ndarray, until: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of a task of which one lies in the other's window, in bounded portions.
+
+    Rows are sorted by place; those of block ``a`` ask, and find later ones of block ``b``.
+    """
+    asking = int(np.searchsorted(pos, (a + 1) * BLOCK))
+    low = np.arange(1, asking + 1) if a == b else np.full(asking, asking)
+    size = np.maximum(np.searchsorted(pos, until[:asking]) - low, 0)
+    ends = np.cumsum(size)
+    for at in range(0, int(ends[-1]) if asking else 0, PAIRS_AT_ONCE):
+        nth = np.arange(at, min(at + PAIRS_AT_ONCE, int(ends[-1])))
+        x = np.searchsorted(ends, nth, side="right")
+        yield x, low[x] + nth - (ends[x] - size[x])
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -172,39 +213,41 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def linked(dealt: DataFrame, threshold: float) -> DataFrame:
+def linked(tasks: DataFrame, threshold: float, count: int) -> DataFrame:
     """``rep, low, links``: links found here per vector, and the smallest id of its local cluster."""
     window = window_of(threshold)
 
+    def judge_task(part: pa.Table, counts: dict[int, int], parent: dict[int, int]) -> None:
+        a, b = part.column("a")[0].as_py(), part.column("b")[0].as_py()
+        rep, n, here, pos, until = (part.column(c).to_numpy() for c in ("rep", "n", "number", "pos", "until"))
+        number, value = (np.array(part.column(c).to_pylist()) for c in ("numbers", "values"))
+        units = part.column("unit").to_pylist()
+        size = np.array([len(u) for u in units])
+        for i, j in pair_numbers(pos, until, a, b):
+            hits, first = collisions(number[i], value[i], number[j], value[j], window)
+            passed = (hits >= count) & (first == here[i])
+            i, j = i[passed], j[passed]
+            near = np.zeros(len(i), bool)
+            for dim in np.unique(size[i]).tolist():
+                m = np.flatnonzero(size[i] == dim)
+                x, y = (np.frombuffer(b"".join([units[k] for k in r[m].tolist()])).reshape(-1, dim // 8) for r in (i, j))
+                near[m] = np.einsum("ij,ij->i", x, y) >= threshold
+            for p, q, np_, nq in zip(rep[i[near]].tolist(), rep[j[near]].tolist(),
+                                     n[i[near]].tolist(), n[j[near]].tolist()):
+                counts[p] = counts.get(p, 0) + nq
+                counts[q] = counts.get(q, 0) + np_
+                r, s = _root(parent, p), _root(parent, q)
+                if r != s:
+                    parent[max(r, s)] = min(r, s)
+
     def judge(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        place = np.stack([table.column(c).to_numpy() for c in ("key", "a", "b")], 1)
-        task = np.cumsum(np.r_[0, (place[1:] != place[:-1]).any(axis=1)])
-        rep, n, block = (table.column(c).to_numpy() for c in ("rep", "n", "block"))
-        units = table.column("unit").to_pylist()
-        number, value = (np.array(table.column(c).to_pylist()) for c in ("numbers", "values"))
-        size = np.array([len(u) for u in units])
+        place = np.stack([table.column(c).to_numpy() for c in ("a", "b")], 1)
+        starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
         counts, parent = {}, {}
-        for x, y in pair_numbers(task):
-            apart = (place[x, 1] == place[x, 2]) | (block[x] != block[y])
-            x, y = x[apart], y[apart]
-            for at in range(0, len(x), PAIRS_AT_ONCE):
-                i, j = x[at:at + PAIRS_AT_ONCE], y[at:at + PAIRS_AT_ONCE]
-                hits, one, two = collisions(number[i], value[i], number[j], value[j], window)
-                here = (hits >= COUNT) & (((place[i, 0] >> 22) & 0x3FFFFF) == one) & ((place[i, 0] & 0x3FFFFF) == two)
-                i, j = i[here], j[here]
-                for dim in np.unique(size[i]).tolist():
-                    m = size[i] == dim
-                    a, b = (np.frombuffer(b"".join([units[k] for k in r[m].tolist()])).reshape(-1, dim // 8)
-                            for r in (i, j))
-                    near = np.einsum("ij,ij->i", a, b) >= threshold
-                    for p, q, np_, nq in zip(rep[i[m][near]].tolist(), rep[j[m][near]].tolist(),
-                                             n[i[m][near]].tolist(), n[j[m][near]].tolist()):
-                        counts[p] = counts.get(p, 0) + nq
-                        counts[q] = counts.get(q, 0) + np_
-                        r, s = _root(parent, p), _root(parent, q)
-                        if r != s:
-                            parent[max(r, s)] = min(r, s)
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+            if end - at > 1:
+                judge_task(table.slice(at, end - at), counts, parent)
         reps = list(counts)
         return pa.RecordBatch.from_arrays(
             [pa.array(reps, pa.int64()), pa.array([_root(parent, r) for r in reps], pa.int64()),
@@ -213,11 +256,11 @@ def linked(dealt: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:  # rows are sorted: hand on whole tasks, keep the last, perhaps unfinished one
-            place = np.stack([batch.column(c).to_numpy() for c in ("key", "a", "b")], 1)
+            place = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1)
             starts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
             if held:
                 last = held[-1]
-                before = [last.column(c)[len(last) - 1].as_py() for c in ("key", "a", "b")]
+                before = [last.column(c)[len(last) - 1].as_py() for c in ("a", "b")]
                 if before != place[0].tolist():
                     starts = np.r_[0, starts]
             if len(starts):
@@ -230,7 +273,7 @@ def linked(dealt: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield judge(held)
 
-    return dealt.mapInArrow(run, "rep long, low long, links long")
+    return tasks.mapInArrow(run, "rep long, low long, links long")
 
 
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -245,23 +288,15 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     size = F.size("vector")
     lengths = reps.groupBy(size.alias("dim")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "dim").first()
     if lengths is None:
-        tails = COUNT
+        tails, count = LEAST_COUNT, LEAST_COUNT
     else:  # a bounded sample of the most common length
         taken = reps.filter(size == lengths["dim"]).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vector").toArrow()
-        tails = calibrated_tails(rows_of(taken.column("vector").combine_chunks()), n_axes, threshold)
-    places = stage(meetings(reps, n_axes, tails), "meetings")
-    # only places where at least two vectors meet; large ones are cut into blocks
-    keys = places.select("rep", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter("g > 1")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    meet = keys.join(shared, "key").withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "key", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    dealt = meet.join(places.drop("keys"), "rep")
+        tails, count = calibrated(rows_of(taken.column("vector").combine_chunks()), n_axes, threshold)
+    places = stage(projected(reps, n_axes, tails), "projected")
+    entries = stage(windows(places, window_of(threshold)), "windows")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stage(linked(dealt.repartition(n_parts, "key", "a", "b").sortWithinPartitions("key", "a", "b", "rep"),
-                         threshold), "links")
+    tasks = dealt(entries, places).repartition(n_parts, "a", "b").sortWithinPartitions("a", "b", "pos")
+    found = stage(linked(tasks, threshold, count), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found, "rep", "low").select(F.col("node").alias("rep"), F.col("low").alias("root"))
     told = reps.join(links, "rep", "left").join(roots, "rep", "left").select(

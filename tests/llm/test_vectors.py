@@ -60,20 +60,57 @@ def test_near_vectors(spark):
 
 
 def test_recall_at_the_threshold_is_calibrated():
-    rnd = np.random.default_rng(4)
-    sample = rnd.standard_normal((1500, 64))
+    sample = np.random.default_rng(4).standard_normal((1500, 64))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    partner = near_vectors.partners(sample, 0.9, seed=9)
+    assert np.allclose((sample * partner).sum(1), 0.9)
     for n in (500, 50_000):
         axes = near_vectors.n_directions(n)
-        tails = near_vectors.calibrated_tails(sample, axes, 0.9)
-        noise = rnd.standard_normal(sample.shape)
-        noise -= (noise * sample).sum(1, keepdims=True) * sample
-        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-        partner = 0.9 * sample + math.sqrt(1 - 0.81) * noise
-        d = near_vectors.directions(64, axes)
-        found = near_vectors.collisions(*near_vectors.tails_of(sample, d, tails), *near_vectors.tails_of(partner, d, tails),
-                                        near_vectors.window_of(0.9))[0]
-        assert (found >= near_vectors.COUNT).mean() >= 0.95
+        tails, count = near_vectors.calibrated(sample, axes, 0.9)
+        found = near_vectors.collisions(*near_vectors.tails_of(sample, axes, tails),
+                                        *near_vectors.tails_of(partner, axes, tails), near_vectors.window_of(0.9))[0]
+        assert count >= near_vectors.LEAST_COUNT and (found >= count).mean() >= 0.95
+
+
+def test_tails_in_slices_equal_those_of_all_directions_at_once():
+    unit = np.random.default_rng(6).standard_normal((50, 8))
+    axes = np.concatenate([near_vectors.directions(8, at, near_vectors.SLICE) for at in range(0, 2048, near_vectors.SLICE)], 1)
+    number, value = near_vectors.tails_of(unit, 2048, 7)
+    p = unit @ axes
+    for k in range(50):
+        best = np.sort(np.argsort(-np.abs(p[k]))[:7])
+        assert number[k].tolist() == [2 * int(j) + int(p[k, j] < 0) for j in best]
+        assert np.allclose(value[k], np.abs(p[k, best]))
+
+
+def test_pairs_of_windows_over_block_borders(monkeypatch):
+    monkeypatch.setattr(near_vectors, "BLOCK", 7)
+    monkeypatch.setattr(near_vectors, "PAIRS_AT_ONCE", 5)
+    rnd = np.random.default_rng(3)
+    pos = np.sort(rnd.choice(100, 40, replace=False))
+    until = pos + rnd.integers(1, 30, 40)
+    got = []
+    for a in range(15):
+        for b in range(a, 15):
+            rows = np.flatnonzero(((pos // 7 == a) & (until // 7 >= b)) | (pos // 7 == b))
+            for x, y in near_vectors.pair_numbers(pos[rows], until[rows], a, b):
+                got += list(zip(rows[x].tolist(), rows[y].tolist()))
+    want = [(i, j) for i in range(40) for j in range(i + 1, 40) if pos[j] < until[i]]
+    assert sorted(got) == want
+
+
+def test_planted_pairs_near_the_threshold_and_a_large_cluster(spark):
+    rnd = np.random.default_rng(8)
+    base = rnd.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = near_vectors.partners(base[:400], 0.91, seed=3)
+    crowd = base[1400] + 0.02 * rnd.standard_normal((700, 64)) / 8
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, near, crowd]))]
+    got = {r["vec_id"]: r for r in near_vectors.near_dedup(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert np.mean([got[1500 + k]["component_id"] == k for k in range(400)]) >= 0.95
+    assert all(got[k]["n_links"] == 700 and got[k]["component_id"] == 1400 for k in [1400, *range(1900, 2600)])
+    assert all(got[k]["n_links"] == 0 for k in range(400, 1400))
 
 
 def test_components_of_a_long_path_and_a_star(spark):
