@@ -2,10 +2,15 @@
 
 One automaton over all terms scans every whole lower-cased url once.  A hit
 counts only between boundaries (no letter or digit on either side).  A url is
-rejected on one strict term, or when its *distinct* soft terms weigh
-``SOFT_LIMIT`` or more together.
-
-Nulls and urls without ``://`` have an empty host and path; a null url has no
+rejected on one strict term, or when at least ``LEAST_SOFT`` *distinct* soft
+terms weigh ``soft_limit`` or more together.  Weights are whole hundredths, so
+sums are exact.  The vocabulary is a parameter: a table ``term, weight``, whose
+null weights mark strict terms; it is read into the automaton of every task, so
+one of more than ``MOST_TERMS`` terms is refused.  Terms are lower-cased, empty
+or null ones ignored; of a term given twice a strict one counts, else the
+heaviest.
+
+Whole urls are scanned, however long.  Nulls and urls without ``://`` have an empty host and path; a null url has no
 hits and is allowed.  Repeated rows are judged alike.
 """
 
@@ -29,31 +34,51 @@ RULES = [
 
 STRICT_TERMS = ["porn", "xxx", "casino", "casinos", "escort", "escorts", "viagra", "warez", "hentai", "sexcam",
                 "free-bets", "malware", "phishing"]
-# term -> weight
-SOFT_TERMS = {"adult": 0.5, "ads": 0.5, "track": 0.5, "tracker": 0.5, "bet": 0.5, "bets": 0.5, "betting": 0.5,
-              "poker": 0.5, "slots": 0.5, "dating": 0.5, "sexy": 0.5, "nude": 0.5, "loan": 0.5, "loans": 0.5,
-              "pills": 0.5, "torrent": 0.5, "crack": 0.5, "keygen": 0.5, "click": 0.5, "popup": 0.5, "free": 0.5,
-              "cheap": 0.5, "win": 0.5, "jackpot": 0.5, "spam": 0.5, "farm": 0.5, "x": 0.5}
-SOFT_LIMIT = 1.0
+# term -> weight in hundredths
+SOFT_TERMS = {"adult": 60, "ads": 50, "track": 50, "tracker": 50, "bet": 50, "bets": 60, "betting": 80,
+              "poker": 70, "slots": 60, "dating": 50, "sexy": 80, "nude": 90, "loan": 40, "loans": 50,
+              "pills": 60, "torrent": 60, "crack": 60, "keygen": 90, "click": 40, "popup": 50, "free": 30,
+              "cheap": 40, "win": 30, "jackpot": 80, "spam": 60, "farm": 20, "x": 10}
+SOFT_LIMIT = 100
+LEAST_SOFT = 2
+MOST_TERMS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = frozenset(LOWER + "0123456789")
 
 HITS = T.StructType([T.StructField("n_strict", T.LongType()), T.StructField("n_soft", T.LongType()),
-                     T.StructField("soft_weight", T.DoubleType())])
+                     T.StructField("soft_weight", T.LongType())])
+
+
+Terms = list[tuple[str, int | None]]
+
 
+def default_terms() -> Terms:
+    return [(t, None) for t in STRICT_TERMS] + list(SOFT_TERMS.items())
 
-def automaton(strict: list[str], soft: dict[str, float]):
+
+def terms_of(vocabulary: DataFrame) -> Terms:
+    """The terms of a table ``term, weight``, each once; an error beyond ``MOST_TERMS``."""
+    term = F.lower(F.col("term"))
+    each = vocabulary.filter("length(term) > 0").groupBy(term.alias("term")).agg(
+        F.when(F.bool_or(F.col("weight").isNull()), None).otherwise(F.max("weight")).cast("long").alias("weight"))
+    rows = each.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary may hold {MOST_TERMS} terms")
+    return [(r["term"], r["weight"]) for r in rows]
+
+
+def automaton(terms: Terms):
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for term, weight in [(t, None) for t in strict] + list(soft.items()):
+    for term, weight in terms:
         found.add_word(term, (term, weight))
     found.make_automaton()
     return found
 
 
-def hits_of(url: str, found) -> tuple[int, int, float]:
+def hits_of(url: str, found) -> tuple[int, int, int]:
     """Hits of strict terms, distinct soft terms and their weight."""
     n_strict, soft = 0, {}
     for end, (term, weight) in found.iter(url):
@@ -64,13 +89,16 @@ def hits_of(url: str, found) -> tuple[int, int, float]:
             n_strict += 1
         else:
             soft[term] = weight
-    return n_strict, len(soft), float(sum(soft.values()))
+    return n_strict, len(soft), sum(soft.values())
+
 
+def vocabulary_hits(url: Column, terms: Terms) -> Column:
+    if not terms:
+        return F.struct(*[F.lit(0).cast("long").alias(f.name) for f in HITS])
 
-def vocabulary_hits(url: Column, strict: list[str] = STRICT_TERMS, soft: dict[str, float] = SOFT_TERMS) -> Column:
     @F.pandas_udf(HITS)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = automaton(strict, soft)
+        found = automaton(terms)
         for urls in batches:
             yield pd.DataFrame([hits_of(u, found) for u in urls], columns=[f.name for f in HITS])
 
@@ -86,16 +114,20 @@ def path_of(url: Column) -> Column:
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-          rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+          rules: list[tuple[str, str, str]] = RULES, vocabulary: DataFrame | None = None,
+          soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """``id, host, path, rule, verdict`` and the vocabulary's counts, one row per page."""
-    hits = pages.select(F.col(id_col), F.col(url_col).alias("__url"), vocabulary_hits(F.col(url_col)).alias("hits"))
+    terms = default_terms() if vocabulary is None else terms_of(vocabulary)
+    hits = pages.select(F.col(id_col), F.col(url_col).alias("__url"),
+                        vocabulary_hits(F.col(url_col), terms).alias("hits"))
     named = hits.select(id_col, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), "hits")
     rule, rule_verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule = F.when(fits, F.lit(host + path)).otherwise(rule)
         rule_verdict = F.when(fits, F.lit(verdict)).otherwise(rule_verdict)
-    bad = (F.col("hits.n_strict") > 0) | (F.col("hits.soft_weight") >= SOFT_LIMIT)
+    bad = (F.col("hits.n_strict") > 0) | (
+        (F.col("hits.n_soft") >= LEAST_SOFT) & (F.col("hits.soft_weight") >= soft_limit))
     return named.select(
         id_col, "host", "path", rule.alias("rule"),
         F.coalesce(rule_verdict, F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
@@ -119,7 +151,7 @@ def oracle() -> str:
 
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in by_length) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in by_length) + \
-        f" WHEN strict_hit OR weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END"
+        f" WHEN strict_hit OR (n_soft >= {LEAST_SOFT} AND weight >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END"
     return f"""
 WITH p AS (
   SELECT page_id, {low} AS low,
