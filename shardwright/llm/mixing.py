@@ -38,6 +38,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SALTS = 64
 PER_CLASS = 3
+SETTLED = 1e-6
 
 
 def documents_by_size(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
@@ -72,13 +73,16 @@ def tilted_rate(lam: Column, x: Column, most: float) -> Column:
 
 
 def newton(cells: DataFrame, targets: DataFrame, most: float, tilt: float, tolerance: float = 1e-9,
-           steps_a_job: int = 4, max_jobs: int = 12) -> DataFrame:
-    """``source, lam``: the dual variables of the free sources."""
+           steps_a_job: int = 4, jobs: int = 12, most_jobs: int = 40) -> DataFrame:
+    """``source, lam``: the dual variables of the free sources.
+
+    After ``jobs`` jobs a gap of ``SETTLED`` of a target is enough; an error if ``most_jobs`` leave more.
+    """
     x = F.pow(F.col("size") / F.col("mean_size"), F.lit(tilt))
     state = targets.filter("free and source_size > 0").select(
         "source", "target", "mean_size", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"),
         F.lit(1e6).alias("high"), F.lit(1.0).alias("off"))
-    for _ in range(max_jobs):
+    for job in range(1, most_jobs + 1):
         for _ in range(steps_a_job):
             rate = tilted_rate(F.col("lam"), x, most)
             words = F.col("n") * F.col("size")
@@ -99,8 +103,11 @@ def newton(cells: DataFrame, targets: DataFrame, most: float, tilt: float, toler
                 F.abs(gap / F.col("target")).alias("off"))
         state = stage(state, "dual")
         worst = state.agg(F.max("off")).first()[0]  # one number for all sources
-        if worst is None or worst <= tolerance:
+        if worst is None or worst <= (tolerance if job < jobs else SETTLED):
             break
+    else:
+        raise RuntimeError(f"the dual has not converged: a source is {worst:.2e} of its target off after "
+                           f"{most_jobs * steps_a_job} steps")
     return state.select("source", F.round("lam", 9).alias("lam"))
 
 
