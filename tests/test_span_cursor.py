@@ -1,9 +1,11 @@
 """Spans and slices cut from shard files, against the chunk join and plain slices."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shardwright.functions.encoders import text_slices
 from shardwright.operators import packing as pk
 from shardwright.operators import span_cursor as cursor
 from shardwright.operators import spans as sp
@@ -92,3 +94,27 @@ def test_no_token_array_is_exchanged(spark, stored):
     spans = spark.createDataFrame([(stem(0), 0, 5)], "shard_stem string, start_idx long, end_idx long")
     plan = cursor.span_tokens(spans, stored[0])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "tokens" not in plan[plan.index("Exchange"):]
+
+
+def test_what_is_held_is_bounded():
+    """Slices of texts by their bytes; cut tokens and a writer's ids keep no read or batch alive."""
+    texts = pa.array(["abc", None, "é" * 40, "", "xy", "z" * 9] * 50).slice(1)
+    slices = list(text_slices(texts, 10))
+    assert [(first, n) for first, n, _, _ in slices][0] == (0, 1) and sum(n for _, n, _, _ in slices) == len(texts)
+    assert all(len(raw) <= 10 or n == 1 for _, n, _, raw in slices)
+    joined = [raw[a:b].tobytes().decode() for _, _, rel, raw in slices for a, b in zip(rel, rel[1:])]
+    assert joined == [t or "" for t in texts.to_pylist()]
+    assert list(text_slices(pa.array([], pa.string()))) == []
+
+
+def test_cut_tokens_keep_no_read_alive(stored):
+    tokens = cursor.ShardCursor(stored[0], None, 16).tokens(stem(0), 2, 4)
+    assert tokens.flags.owndata and tokens.tolist() == stored[1][2:4]
+    assert len(cursor.ShardCursor(stored[0], None, 0).tokens(stem(0), 2, 4)) == 2
+
+
+def test_dealt_spans_stay_where_they_are(spark, stored):
+    rows = [(stem(k % 5), k % 3, 9 + k % 3, k) for k in (7, 3, 9, 1, 4)]
+    spans = spark.createDataFrame(rows, "shard_stem string, start_idx long, end_idx long, k int").coalesce(1)
+    got = [(r["k"], np.frombuffer(r["packed"], "<u2").tolist()) for r in cursor.packed_spans(spans, stored[0], dealt=True).collect()]
+    assert got == [(k, stored[1][16 * int(s[-6:]) + a:16 * int(s[-6:]) + b]) for s, a, b, k in rows]
