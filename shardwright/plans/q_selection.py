@@ -167,11 +167,17 @@ def x5_token_files(spark, sf_dir):
     """The ranked training files of every geometry metric, written and read back."""
     shards = corpus.shard_files(spark, sf_dir)
     placed = _ranked_files(spark, sf_dir, NON_RANDOM_METRICS).select(
-        F.format_string("%s_%02d", "metric", "file_no").alias("file_stem"), "out_offset", "shard_stem",
+        F.format_string("%s_%02d", "metric", "file_no").alias("shard_stem"), F.col("out_offset").alias("start_pos"),
+        F.col("len").alias("n_tokens"), F.col("shard_stem").alias("from_stem"),
         *[(F.col(c) - HEADER_TOKENS).alias(c) for c in ("start_idx", "end_idx")])
-    cut = cursor.packed_spans(placed, shards).select(F.col("file_stem").alias("shard_stem"), F.col("out_offset").alias("start_pos"), "packed")
+
+    def cut(dealt):
+        names = {"shard_stem": "file_stem", "from_stem": "shard_stem"}
+        packed = cursor.packed_spans(dealt.withColumnsRenamed(names), shards, dealt=True)
+        return packed.drop("shard_stem").withColumnRenamed("file_stem", "shard_stem")
+
     folder = scratch_path(spark, f"selected-{uuid.uuid4().hex}")
-    written = tb.write_long_shards(cut, folder)
+    written = tb.write_long_shards(placed, folder, cut=cut)
     files.delete_on_exit(spark, folder)
     if not written:  # too few documents for the selection files
         return spark.createDataFrame([], "file_stem string, n_tokens long, token_sum long, weighted_sum long")

@@ -33,6 +33,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +47,13 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 from pyspark.sql.types import StructType
 
 from ..constants import HEADER_INTS, HEADER_TOKENS, SHARD_MAGIC, SHARD_VERSION, TOKEN_LIMIT
+from ..session import cut_lineage
 from . import stores
 
 HEADER_BYTES = HEADER_INTS * 4
 PART_TOKENS = 1 << 26  # tokens of a long file that one task writes
 COPY_BYTES = 1 << 23
+READ_TOKENS = 1 << 20  # most tokens of a batch of chunks
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 CHUNK_SCHEMA = "shard_stem string, chunk_id int, start_pos long, tokens array<int>"
@@ -168,16 +172,19 @@ class TokenBinReader(DataSourceReader):
         hi = min(n, (part.first_chunk + part.n_chunks) * self.chunk)
         if hi <= lo:
             return
-        raw = stores.read_range(part.path, HEADER_BYTES + 2 * lo, 2 * (hi - lo), self.opener)
-        tokens = np.frombuffer(raw, "<u2").astype(np.int32)
-        starts = np.arange(lo, hi, self.chunk, dtype=np.int64)
-        offsets = np.append(starts - lo, hi - lo).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([_stem(part.path)] * len(starts), pa.string()),
-            pa.array((starts // self.chunk).astype(np.int32)),
-            pa.array(starts + self.shift),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
-        ], names=["shard_stem", "chunk_id", "start_pos", "tokens"])
+        step = max(1, READ_TOKENS // self.chunk) * self.chunk
+        for a in range(lo, hi, step):
+            b = min(a + step, hi)
+            raw = stores.read_range(part.path, HEADER_BYTES + 2 * a, 2 * (b - a), self.opener)
+            tokens = np.frombuffer(raw, "<u2").astype(np.int32)
+            starts = np.arange(a, b, self.chunk, dtype=np.int64)
+            offsets = np.append(starts - a, b - a).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([_stem(part.path)] * len(starts), pa.string()),
+                pa.array((starts // self.chunk).astype(np.int32)),
+                pa.array(starts + self.shift),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
+            ], names=["shard_stem", "chunk_id", "start_pos", "tokens"])
 
 
 class Written(WriterCommitMessage):
@@ -221,6 +228,10 @@ class TokenBinWriter(DataSourceArrowWriter):
             rows = batch.column("packed").slice(first, n)
             if rows.null_count:
                 raise ValueError(f"shard {stem} holds a null part")
+            if pa.types.is_binary(rows.type) and len(rows):  # a copy: a view would keep the whole batch
+                _, at, data = rows.buffers()
+                bounds = np.frombuffer(at, np.int32, count=rows.offset + len(rows) + 1)
+                return np.frombuffer(data[int(bounds[rows.offset]):int(bounds[-1])].to_pybytes() if data else b"", "<u2")
             return np.frombuffer(b"".join(rows.to_pylist()), "<u2")
         tokens = batch.column("tokens").slice(first, n).flatten()
         if tokens.null_count:
@@ -297,14 +308,21 @@ def write_shards(chunks: DataFrame, path: str, **options) -> None:
         .write.format("token_bin").mode("append").options(path=path, **options).save()
 
 
-def write_long_shards(rows: DataFrame, path: str, part_tokens: int = PART_TOKENS) -> list[tuple[str, int]]:
+def write_long_shards(rows: DataFrame, path: str, part_tokens: int = PART_TOKENS,
+                      cut: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple[str, int]]:
     """S5 for files of any length: ``(shard_stem, start_pos, tokens or packed)`` rows, start positions per file from 0.
 
     A file's position ranges of ``part_tokens`` are written by separate tasks as part
     files; then one task per file streams its parts, in order and behind a header with
-    their total, into the file.  No task holds more than a part and one row, and nothing
-    passes through the driver but names and counts, which are returned.
+    their total, into the file, and removes them.  No task holds more than a part and one
+    row, and nothing passes through the driver but names and counts, which are returned.
+
+    With ``cut`` the rows are ``(shard_stem, start_pos, n_tokens, ...)`` without ids.  They are
+    dealt by file; ``cut`` adds ``packed`` to them where they then lie, and each file is streamed
+    from its rows by one task: no ids are exchanged, and none is stored but in its file.
     """
+    if cut is not None:
+        return _write_streams(rows, path, cut)
     spark, staging = rows.sparkSession, f"{path.rstrip('/')}/_parts-{uuid.uuid4().hex}"
     part = F.format_string("%s.%012d", "shard_stem", F.floor(F.col("start_pos") / part_tokens))
     write_shards(rows.withColumn("shard_stem", part), staging)
@@ -320,17 +338,19 @@ def write_long_shards(rows: DataFrame, path: str, part_tokens: int = PART_TOKENS
         for batch in batches:
             for row in batch.to_pylist():
                 count = sum(p["n_tokens"] for p in row["parts"])
-                if count >= 2 ** 31:
-                    raise ValueError(f"shard {row['stem']} has {count} ids; the header's count is a signed 32-bit integer")
-                temporary = f"{folder}/.{row['stem']}.bin.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(temporary) as out:
-                    out.write(_header(count))
-                    for p in row["parts"]:
-                        with store.open_input_file(f"{inside}/{p['part']}.bin") as source:
-                            source.seek(HEADER_BYTES)
-                            while block := source.read(COPY_BYTES):
-                                out.write(block)
-                store.move(temporary, f"{folder}/{row['stem']}.bin")
+                final = f"{folder}/{row['stem']}.bin"
+                names = [f"{inside}/{p['part']}.bin" for p in row["parts"]]
+                if store.get_file_info(names[-1]).type == fs.FileType.File:  # else joined by a task that is run again
+                    with _new_file(store, folder, row["stem"], count) as out:
+                        for name in names:
+                            with store.open_input_file(name) as source:
+                                source.seek(HEADER_BYTES)
+                                while block := source.read(COPY_BYTES):
+                                    out.write(block)
+                    for name in reversed(names):
+                        store.delete_file(name)
+                elif store.get_file_info(final).size != HEADER_BYTES + 2 * count:
+                    raise FileNotFoundError(f"{names[-1]}: a part of {final} is missing")
                 yield pa.RecordBatch.from_pylist([{"stem": row["stem"], "n_tokens": count}])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -340,6 +360,57 @@ def write_long_shards(rows: DataFrame, path: str, part_tokens: int = PART_TOKENS
     return sorted((r["stem"], r["n_tokens"]) for r in done)
 
 
+@contextmanager
+def _new_file(store: fs.FileSystem, folder: str, stem: str, count: int) -> Iterator[pa.NativeFile]:
+    """A shard file of ``count`` ids to write them to; it gets its name when it is complete."""
+    if count >= 2 ** 31:
+        raise ValueError(f"shard {stem} has {count} ids; the header's count is a signed 32-bit integer")
+    temporary = f"{folder}/.{stem}.bin.{uuid.uuid4().hex}.tmp"
+    try:
+        with store.open_output_stream(temporary) as out:
+            out.write(_header(count))
+            yield out
+            written = out.tell()
+        if written != HEADER_BYTES + 2 * count:
+            raise ValueError(f"shard {stem} has {count} ids, {written - HEADER_BYTES} bytes were written")
+        store.move(temporary, f"{folder}/{stem}.bin")
+    except BaseException:
+        if store.get_file_info(temporary).type == fs.FileType.File:
+            store.delete_file(temporary)
+        raise
+
+
+def _write_streams(rows: DataFrame, path: str, cut: Callable[[DataFrame], DataFrame]) -> list[tuple[str, int]]:
+    """One task per file: its rows in position order, their ids cut and streamed behind a header with the total."""
+    spark, total = rows.sparkSession, "file_tokens"
+    rows = cut_lineage(rows)  # small rows; the totals and the files are of the same ones
+    totals = rows.groupBy("shard_stem").agg(F.sum("n_tokens").cast("long").alias(total))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = stores.open_store(path.rstrip("/"))
+        store.create_dir(folder, recursive=True)
+        columns = ("shard_stem", total, "start_pos", "packed")
+        each = (row for batch in batches for row in zip(*(batch.column(c) for c in columns)))
+        for stem, own in groupby(each, key=lambda row: row[0].as_py()):
+            first = next(own)
+            with _new_file(store, folder, stem, count := first[1].as_py()) as out:
+                for _, _, start, packed in chain([first], own):
+                    if out.tell() != HEADER_BYTES + 2 * start.as_py():
+                        raise ValueError(f"shard {stem}: ids up to {(out.tell() - HEADER_BYTES) // 2}, the next start at {start}")
+                    if not packed.is_valid:
+                        raise ValueError(f"shard {stem} holds a null part")
+                    out.write(packed.as_buffer())
+            yield pa.RecordBatch.from_pylist([{"stem": stem, "n_tokens": count}])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by the work, which the rows' few bytes do not show
+    # by a hash of the name: Spark leaves out an exchange by the join's own key, and may then turn the join into
+    # a broadcast one, which does not bring a file's rows together
+    dealt = rows.join(totals, "shard_stem").repartition(n, F.xxhash64("shard_stem")) \
+        .sortWithinPartitions("shard_stem", "start_pos", "n_tokens")
+    done = cut(dealt).select("shard_stem", total, "start_pos", "packed").mapInArrow(stream, "stem string, n_tokens long").collect()
+    return sorted((r["stem"], r["n_tokens"]) for r in done)
+
+
 def read_shards(spark: SparkSession, files: str | list[str], **options) -> DataFrame:
     """Chunk rows of every file matching a pattern, or of the files of a list, in path order."""
     register(spark)

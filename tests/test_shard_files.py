@@ -153,3 +153,30 @@ def test_long_files_are_joined_from_parts(spark, tmp_path):
     got = tb.read_shards(spark, str(tmp_path / "bin/*.bin")).orderBy("shard_stem").collect()
     assert [list(r["tokens"]) for r in got] == [[t for _, _, ts in rows[a:b] for t in ts] for a, b in ((0, 23), (23, 47), (47, 72))]
     assert tb.write_long_shards(frame.where("start_pos < 0"), str(tmp_path / "none")) == []
+
+
+def test_files_are_streamed_from_rows_cut_in_place(spark, tmp_path):
+    rows = [(f"f_{f}", 3 * k, 3, f, k) for f in range(3) for k in range(50)]
+    frame = spark.createDataFrame(rows, "shard_stem string, start_pos long, n_tokens long, f int, k int").repartition(4)
+
+    def cut(dealt):
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "packed" not in plan  # no ids are exchanged
+        one = F.concat(*[F.expr(f"unhex(lpad(hex({c}), 2, '0') || '00')") for c in ("f", "k", "f")])
+        return dealt.withColumn("packed", one)
+
+    assert tb.write_long_shards(frame, str(tmp_path / "bin"), cut=cut) == [(f"f_{f}", 150) for f in range(3)]
+    assert sorted(os.listdir(tmp_path / "bin")) == ["f_0.bin", "f_1.bin", "f_2.bin"]
+    for f in range(3):
+        assert np.fromfile(f"{tmp_path}/bin/f_{f}.bin", "<u2")[512:].tolist() == [x for k in range(50) for x in (f, k, f)]
+    assert tb.write_long_shards(frame.where("k < 0"), str(tmp_path / "none"), cut=cut) == []
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a join that becomes a broadcast one as it runs
+    try:
+        assert tb.write_long_shards(frame, str(tmp_path / "late"), cut=cut) == [(f"f_{f}", 150) for f in range(3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    with pytest.raises(Exception, match="the next start at 3"):
+        tb.write_long_shards(frame.where("k > 0"), str(tmp_path / "gap"), cut=cut)
+    assert not os.listdir(tmp_path / "gap")
