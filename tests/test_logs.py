@@ -65,3 +65,21 @@ def test_record_history(spark):
     speed = [r.speedup for r in rn.record_progression(rec).orderBy("num").collect()]
     assert speed[1] == pytest.approx(45 / 31.4) and speed[2] == pytest.approx(45 / 30)
     assert {tuple(r)[0]: tuple(r)[1] for r in rn.contributor_counts(rec).collect()} == {"@ann": 2, "@bob": 2, "@cy": 1}
+
+
+def test_lines_of_many_runs_in_one_file(spark, tmp_path):
+    """State crosses micro-batches; the number of files is that of the tasks, not of the runs."""
+    from shardwright.streaming import run_follow
+
+    def line(run, step, loss):
+        return f"{run}\tstep:{step}/9 val_loss:{loss:.4f} train_time:{100 * step}ms step_avg:1.00ms"
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.txt").write_text("\n".join([line("r1", 1, 3.5), line("r2", 2, 3.2), "r2\tsome source line"]))
+    (logs / "b.txt").write_text("\n".join([line("r1", 3, 3.1), line("r2", 1, 3.9), line("r1", 2, 3.2)]))
+    out = run_follow.run_available(spark, str(logs), str(tmp_path / "c"), str(tmp_path / "o"), 3.28, run_pattern=None,
+                                   files_per_trigger=1)
+    got = {r["run_id"]: (r["final_step"], r["final_val_loss"], r["best_val_loss"], r["time_to_target_ms"], r["reached"])
+           for r in out.collect()}
+    assert got == {"r1": (3, 3.1, 3.1, 200.0, True), "r2": (2, 3.2, 3.2, 200.0, True)}
