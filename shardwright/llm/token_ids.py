@@ -7,17 +7,22 @@ space with no white space beside it.  Each worker keeps the library's ids of
 the words it has met (a bounded cache; clearing it changes no result).  A
 single line break between two words is a sure cut as well.  Texts whose white
 space is irregular are cut only at the sure single spaces, without the cache.
+A word of ASCII letters is one piece that a pre-tokenizer leaves as it is, so the
+library's model merges it directly; other words take the whole way.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 ID = np.dtype("<u4")
 SURE_CUT = re.compile(r"(?<=\S) (?=\S)")
 # punctuation that the pre-tokenizers cut off a word of letters in one piece (an apostrophe may start a contraction)
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PROBES = (*CAPITALS, *CAPITALS.lower(), "word", "Word", "WORDS", "xQzjWkq", "internationalisation", "\nword", "\nWordXq")
 ENDING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -38,6 +43,12 @@ class WordEncoder:
         self.max_words = max_words
         self.cache: dict[str, bytes] = {}
         self.newline = self._bytes("\n")
+        self.folds = all(self._ids(c) == self._ids(c.lower()) for c in CAPITALS)
+        self.space = "\u0120" if self.spaced else ""  # a space in byte-level vocabularies
+        # an added token of letters would be cut out of words, and a pre-tokenizer of another kind may change them
+        added = [t.content.strip() for t in self.tok.get_added_tokens_decoder().values()]
+        self.direct = not any(t.isascii() and t.isalpha() for t in added) and \
+            self._direct(list(PROBES)) == [self._one(w) for w in PROBES]
         if not self.spaced:
             vocabulary = self.tok.get_vocab()
             self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -55,6 +66,20 @@ class WordEncoder:
     def _one(self, word: str) -> bytes:
         return self._after_break(word) if word[0] == "\n" else self._bytes(" " + word if self.spaced else word)
 
+    def _direct(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters, from the library's model."""
+        merge, out = self.tok.model.tokenize, []
+        for first in range(0, len(words), 4096):
+            some = words[first:first + 4096]
+            pieces = [w[1:] if w[0] == "\n" else self.space + w for w in some]
+            ids = [[t.id for t in merge(w.lower() if self.folds else w)] for w in pieces]
+            raw, at = np.fromiter(chain.from_iterable(ids), ID).tobytes(), 0
+            for w, own in zip(some, ids):
+                stop = at + 4 * len(own)
+                out.append(self.newline + raw[at:stop] if w[0] == "\n" else raw[at:stop])
+                at = stop
+        return out
+
     def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of words of Latin letters, in one call of the library."""
         if self.spaced:  # every word is followed by one line break, which is one id
@@ -77,13 +102,17 @@ class WordEncoder:
         for w in words:
             core = w.rstrip(ENDING)
             bare = core[1:] if core[:1] == "\n" else core
-            if bare.isalpha() and max(bare) < "\u0100":
+            if bare.isalpha() and (bare.isascii() or max(bare) < "\u0100"):
                 if core not in cache:
                     plain[core] = None
                 if len(core) < len(w):
                     later.append((w, core, w[len(core):]))
             else:
                 cache[w] = self._one(w)
+        if self.direct:
+            letters = [w for w in plain if w.isascii()]
+            cache.update(zip(letters, self._direct(letters)))
+            plain = [w for w in plain if not w.isascii()]
         if plain:
             cores = list(plain)
             cache.update(zip(cores, self._plain(cores)))
@@ -94,7 +123,7 @@ class WordEncoder:
     def _regular(self, word: str) -> bool:
         """Whether a part is a word with white space only inside, or one line break in front of such a word."""
         bare = word[1:] if word[:1] == "\n" else word
-        return bool(bare) and not bare[0].isspace() and not bare[-1].isspace()
+        return bool(bare) and len(bare.strip()) == len(bare)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -104,7 +133,8 @@ class WordEncoder:
         cache = self.cache
         if len(cache) > self.max_words:
             cache.clear()
-        parts = [t.replace("\n", " \n").split(" ") for t in texts]
+        # where the vocabulary has no capitals, a word in either case is one word of the cache
+        parts = [(t.lower() if self.folds and t.isascii() else t).replace("\n", " \n").split(" ") for t in texts]
         words: set[str] = set()
         for p in parts:
             p[0] = "\n" + p[0]  # as after a line break, whose ids are taken off again

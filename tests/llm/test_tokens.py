@@ -117,3 +117,16 @@ def test_damaged_files_are_refused():
             list(id_files.documents_of(bytes(broken), "file"))
     with pytest.raises(ValueError):
         list(id_files.documents_of(content[:-1], "file"))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_letters_go_to_the_model_alone(name):
+    """New words of ASCII letters do not take the whole way of the library, and their ids are the same."""
+    texts = ["The brownish foxes\nJumped over, the Brownish fence.", "brownish FOXES jumped\nover naïve fences, twice"]
+    enc, whole = WordEncoder(public_tokenizers.path(name)), []
+    ids = enc._ids
+    enc._ids = lambda text: (whole.append(text), ids(text))[1]
+    raw = enc.encode_all(texts)
+    assert not any("rown" in text or "umped" in text for text in whole)
+    assert any("na" in text for text in whole)
+    assert [np.frombuffer(r, "<u4").tolist() for r in raw] == [ids(t) for t in texts]
