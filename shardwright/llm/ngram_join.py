@@ -6,8 +6,8 @@ of either; all steps follow from that bound and lose no link.
 
 1. *Sift.*  In hash order, two linked sets share at least ``l`` of their first
    ``n - T + l`` shingles.  Only these travel, as arrays dealt by hash; a node
-   of whose ones too few occur in any other node links with nothing.  A batch
-   sends a shingle once however many of its texts hold it.
+   of whose ones too few occur in any other node links with nothing.  A part of
+   a batch sends a shingle once however many of its texts hold it.
 2. *Route.*  Among the nodes left, shingles are ordered from rare to common.
    Linked sets share one of their first ``n - T + 1``, so connecting nodes that
    share one of these gives groups that no link leaves; common passages lie
@@ -48,6 +48,7 @@ from .shingles import mixed, shingle_sets, signature
 
 TOP, BOTTOM = 80, 100  # the threshold as a fraction
 BUCKET_SHINGLES = 1_000_000
+PART_SHINGLES = 250_000  # sifting shingles that a task deals together, and at most one set more
 BLOCK = 512
 SKIP_WEIGHT = 0.01
 
@@ -85,30 +86,36 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, n long, node long, check long")
 
 
-def sifted(docs: DataFrame, n_buckets: int) -> DataFrame:
+def sifting_parts(texts: pa.Array, most: int = PART_SHINGLES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sifting shingles and their nodes, each node of the texts once; a part ends with the set that reaches ``most``."""
+    hashes, owners, size, known = [], [], 0, set()
+    for _, s in shingle_sets(texts):
+        node = signature(s)[0]
+        if len(s) and node not in known:
+            known.add(node)
+            hashes.append(s[:sift_length(len(s))].copy())  # a view would keep the whole set
+            owners.append(node)
+            size += len(hashes[-1])
+        if size >= most:
+            yield np.concatenate(hashes), np.repeat(np.array(owners, np.int64), [len(one) for one in hashes])
+            hashes, owners, size = [], [], 0
+    if hashes:
+        yield np.concatenate(hashes), np.repeat(np.array(owners, np.int64), [len(one) for one in hashes])
+
+
+def sifted(docs: DataFrame, n_buckets: int, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """``node, seen``: how many of the node's sifting shingles occur in another node."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 24
-        for number, batch in enumerate(batches):
-            hashes, owners, known = [], [], set()
-            for _, s in shingle_sets(batch.column("text")):
-                node = signature(s)[0]
-                if len(s) and node not in known:
-                    known.add(node)
-                    part = s[:sift_length(len(s))]
-                    hashes.append(part)
-                    owners.append(np.full(len(part), node, np.int64))
-            if not hashes:
-                continue
-            h, o = np.concatenate(hashes), np.concatenate(owners)
+        for number, (h, o) in enumerate(part for batch in batches for part in sifting_parts(batch.column("text"), part_shingles)):
             order = np.argsort(h)
             h, o = h[order], o[order]
             fresh = np.concatenate(([True], h[1:] != h[:-1]))
             group = np.cumsum(fresh) - 1
             many = np.bincount(group) > 1
             seen_here = many[group]
-            # of a shingle that several nodes of the batch hold, one row goes on as a witness
+            # of a shingle that several nodes of the part hold, one row goes on as a witness
             nodes, seen = np.unique(o[seen_here], return_counts=True)
             out = [(-1 - task - number, b"", nodes.tobytes(), seen.astype(np.int64).tobytes())]
             h, o, witness = h[fresh], o[fresh], many
@@ -126,7 +133,7 @@ def sifted(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = np.frombuffer(b"".join(rows["nodes"]), np.int64)
-        if rows["bucket"].iloc[0] < 0:  # counts within batches
+        if rows["bucket"].iloc[0] < 0:  # counts within parts
             seen = np.frombuffer(b"".join(rows["marks"]), np.int64)
         else:
             hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint64)

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from llm_helpers import table
 
 from shardwright.llm import exact_dedup, ngram_join, shingles, suffix_dedup
@@ -145,3 +146,25 @@ def test_shingles_do_not_cross_texts_or_depend_on_slices():
     together = [s.tolist() for _, s in shingles.shingle_sets(pa.array(texts))]
     assert alone == together == [s.tolist() for _, s in shingles.shingle_sets(pa.chunked_array([["x"], texts]).combine_chunks()[1:])]
     assert together[0] == together[3] and together[1] == together[4] and together[2] == []
+
+
+def test_sifting_parts_are_bounded():
+    """A batch's sifting shingles come in parts, each node once, and hold on to no whole set."""
+    texts = [" ".join(f"w{k}_{i}" for i in range(204)) for k in range(40)]
+    sets = [s for _, s in ngram_join.shingle_sets(pa.array(texts))]
+    length = ngram_join.sift_length(200)
+    parts = list(ngram_join.sifting_parts(pa.array(texts + texts[:5]), most=3 * length))
+    assert [len(h) for h, _ in parts] == [3 * length] * 13 + [length]
+    assert all(h.base is None for h, _ in parts)
+    assert np.array_equal(np.concatenate([h for h, _ in parts]), np.concatenate([s[:length] for s in sets]))
+    nodes = [ngram_join.signature(s)[0] for s in sets]
+    assert np.concatenate([o for _, o in parts]).tolist() == np.repeat(nodes, length).tolist()
+
+
+def test_counts_do_not_depend_on_the_parts(spark):
+    """Shingles that texts of one batch but of different parts share are counted as those within a part."""
+    base = [" ".join(f"w{k}_{i}" for i in range(60)) for k in range(30)]
+    docs = spark.createDataFrame([(t,) for t in base + [t + " more" for t in base]], "text string").coalesce(1)
+    whole, cut = (table(ngram_join.sifted(docs, 3, most), "node", "seen") for most in (1 << 30, 20))
+    assert whole == cut
+    assert len(whole) == 60
