@@ -34,7 +34,7 @@ from .id_codec import decode_blocks, encode_blocks
 from .scratch import shared_folder, stage
 from .token_ids import encoder, text_slices
 
-MAGIC = b"SWIDS1\r\n"
+MAGIC = b"SWIDS2\r\n"
 HEADER = struct.Struct("<IIIIQ")  # block ids, ids below, documents, blocks, all ids
 BLOCK = 1024
 LANES = 4096

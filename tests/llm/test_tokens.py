@@ -130,3 +130,38 @@ def test_words_of_letters_go_to_the_model_alone(name):
     assert not any("rown" in text or "umped" in text for text in whole)
     assert any("na" in text for text in whole)
     assert [np.frombuffer(r, "<u4").tolist() for r in raw] == [ids(t) for t in texts]
+
+
+def test_latin_texts_are_cut_into_pieces_and_each_is_learnt_once():
+    """Latin-1 texts of the word vocabulary do not go word by word; pieces met before are not learnt again."""
+    enc, tokenizer = WordEncoder(WORD), Tokenizer.from_file(WORD)
+    texts = ["The déjà vu, the DÉJÀ vu; it's (the) 12 ½²!?", "l'eau d'été 'S's 'rex 'vexed '", "", "vu\x85the\xa0the"]
+    learnt, learn = [], enc._learn_pieces
+    enc._learn_pieces = lambda pieces: (learnt.extend(pieces), learn(pieces))[1]
+    for _ in range(2):
+        got = [np.frombuffer(raw, "<u4").tolist() for raw in enc.encode_all(texts)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(learnt) == len(set(learnt)) and b"the" in learnt and b"The" not in learnt
+    assert not enc.cache  # the words of the other way
+    assert not WordEncoder(BYTE).latin
+
+
+_pieces = (WordEncoder(WORD), WordEncoder(WORD, max_words=5))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=255), st.sampled_from("'stmdrevll <|>")), max_size=30), max_size=4))
+def test_pieces_of_any_latin_text(texts):
+    tokenizer = _encoders[WORD][1]
+    for enc in _pieces:
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in enc.encode_all(texts)] == [
+            tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_damaged_blocks_decode_to_something():
+    """Any bytes can be decoded without an error of their own; the checksum of a block then tells."""
+    rnd = np.random.default_rng(5)
+    for below in (2, 300, 49_408):
+        for size in (0, 6, 9, 400):
+            got = id_codec.decode_blocks([rnd.bytes(size), b"\xff" * size], 64, below)
+            assert got.shape == (2, 64)
