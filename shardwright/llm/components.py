@@ -2,8 +2,9 @@
 
 Large-star links every larger neighbour of a node to the node's smallest
 neighbour, small-star the smaller ones; repeated, every component becomes a
-star around its smallest id.  Each round writes its edges to the shared
-folder, so lineage stays short; only a count and a checksum of the edges reach
+star around its smallest id.  Each half of a round writes its edges to the
+shared folder, so lineage stays short and the second half's plan does not hold
+the first one's several times; only a count and a checksum of the edges reach
 the driver.
 """
 
@@ -40,7 +41,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     for _ in range(most_rounds):
         if not state[0]:
             return now
-        now = stage(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        large = stage(_large_star(now).distinct(), "large")
+        now = stage(_small_star(large).distinct(), "edges")
         before, state = state, _state(now)
         if state == before:
             return now

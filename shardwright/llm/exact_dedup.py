@@ -8,7 +8,8 @@ digest, until a single run, spread over all tasks by digest, is left.  The
 result then walks down the same tree: an entry only ever joins the at most
 ``fan_in`` entries below it, and a row joins the entry of its own run, so a
 text that a third of all rows share is spread over all the runs and no task
-receives it whole.
+receives it whole.  Every level is written once, so that the way down does not
+plan the way up again for each level.
 
 Two texts share an entry only if SHA-256, length in bytes and a second,
 independent 64-bit hash of the normalised text all agree at every level.
@@ -55,9 +56,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = stage(digest_table(docs, id_col, text_col, fan_in ** rounds, row), "digests")
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))
-    levels = [_merge(rows.select("run", *DIGEST, first.alias("first"), F.lit(1).cast("long").alias("n")), F.col("run"))]
+    entries = rows.select("run", *DIGEST, first.alias("first"), F.lit(1).cast("long").alias("n"))
+    levels = [stage(_merge(entries, F.col("run")), "runs")]
     for _ in range(rounds):
-        levels.append(_merge(levels[-1], F.floor(F.col("run") / fan_in)))
+        levels.append(stage(_merge(levels[-1], F.floor(F.col("run") / fan_in)), "runs"))
     # the top run holds the answer of every digest; hand it down level by level
     answer = levels[-1].select(*DIGEST, F.col("run").alias("up"), F.col("first").alias("best"), F.col("n").alias("size"))
     for level in levels[-2::-1]:

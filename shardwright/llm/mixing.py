@@ -11,7 +11,9 @@ exponentially tilted ``most / (1 + (most - 1) exp(-lambda * x))`` with
 ``x = (size / mean size) ** tilt``; ``tilt`` is the weight of length in the
 prior (0: all documents of a source alike).  Newton steps run on Spark: every
 step is one aggregate of gradient and curvature per source over the histogram
-of (source, size), which is small however many documents share a size.  A step
+of (source, size), which is small however many documents share a size.  Each step
+is a small plan of its own that writes its state; every fourth step looks
+whether the sources are near enough.  A step
 that leaves the bracket known so far is replaced by the bracket's middle.
 
 *Copies.*  Rates become whole copies by systematic rounding along each source
@@ -101,7 +103,7 @@ def newton(cells: DataFrame, targets: DataFrame, most: float, tilt: float, toler
                 .otherwise((F.col("l") + F.col("h")) / 2).alias("lam"),
                 F.col("l").alias("low"), F.col("h").alias("high"),
                 F.abs(gap / F.col("target")).alias("off"))
-        state = stage(state, "dual")
+            state = stage(state, "dual")  # steps planned together cost the driver the square of their number
         worst = state.agg(F.max("off")).first()[0]  # one number for all sources
         if worst is None or worst <= (tolerance if job < jobs else SETTLED):
             break
@@ -178,7 +180,7 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "source", "size", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
     taken = stage(copies(by_doc, rated, float(most)), "copies")
     for past in (True, False):
-        flips = closing_flips(taken, targets, float(most), past)
+        flips = stage(closing_flips(taken, targets, float(most), past), "flips")
         taken = taken.join(flips, "row", "left").withColumn(
             "copies", F.col("copies") + F.coalesce("flip", F.lit(0))).drop("flip")
         taken = stage(taken, "copies-closed") if past else taken

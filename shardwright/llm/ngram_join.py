@@ -292,9 +292,9 @@ def joined(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     led = stage(against_leader(members.filter("node <> route"), leaders).filter("led"), "led")
     rest = members.filter("node <> route").join(led.select("node"), "node", "left_anti")
     sizes = members.groupBy("route").agg(F.count(F.lit(1)).alias("g"))
-    blocks = rest.groupBy("route").agg(F.count(F.lit(1)).alias("q")).join(sizes, "route").select(
+    blocks = stage(rest.groupBy("route").agg(F.count(F.lit(1)).alias("q")).join(sizes, "route").select(
         "route", F.ceil(F.col("g") / BLOCK).cast("int").alias("index"),
-        F.ceil(F.col("q") / BLOCK).cast("int").alias("queries"))
+        F.ceil(F.col("q") / BLOCK).cast("int").alias("queries")), "blocks")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         """Each row to the block of its own kind that its hash names, beside every block of the other kind."""
