@@ -8,6 +8,8 @@ never from an un-partitioned window.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,24 @@ def split_files(ranked: DataFrame, n_rows: int, n_files: int = SELECTION_FILES)
         .where(F.col("file_no") <= n_files)
 
 
+def file_sums(chunks: DataFrame) -> DataFrame:
+    """``(shard_stem, n_tokens, token_sum, weighted_sum)`` of files read as ``(shard_stem, start_pos, tokens)`` rows.
+
+    ``weighted_sum`` (id times position) grows with the square of a file's length and passes
+    64 bits at some 400 million byte tokens.  It is summed exactly and given as its lowest 64
+    bits, as a signed number: the sum itself as long as that is a long, a checksum beyond.
+    """
+    zero = F.lit(0).cast("long")
+    # a row's own sum is a long: at most 65,536 ids, below 2**16, at positions below 2**31 (the header's count)
+    weighted = F.aggregate(F.transform("tokens", lambda x, i: x.cast("long") * (F.col("start_pos") + i)), zero, lambda a, x: a + x)
+    rows = chunks.select("shard_stem", F.size("tokens").alias("n"), F.aggregate("tokens", zero, lambda a, x: a + x).alias("s"),
+                         weighted.cast("decimal(20,0)").alias("w"))
+    half, whole = F.lit(Decimal(2 ** 63)), F.lit(Decimal(2 ** 64))
+    return rows.groupBy("shard_stem").agg(
+        F.sum("n").cast("long").alias("n_tokens"), F.sum("s").cast("long").alias("token_sum"),
+        (F.pmod(F.sum("w") + half, whole) - half).cast("long").alias("weighted_sum"))
+
+
 def extremes(long_df: DataFrame, n: int, nan: str = "drop") -> DataFrame:
     """Top ``n`` (highest first) and bottom ``n`` (lowest first) per metric.
 

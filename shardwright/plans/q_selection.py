@@ -164,7 +164,7 @@ FROM placed p JOIN (SELECT *, printf('fineweb_%s_%06d', CASE WHEN shard_id = 0 T
 GROUP BY 1
 """)
 def x5_token_files(spark, sf_dir):
-    """The ranked training files of every geometry metric, written and read back."""
+    """The ranked training files of every geometry metric, written and read back (sums: ``selection.file_sums``)."""
     shards = corpus.shard_files(spark, sf_dir)
     placed = _ranked_files(spark, sf_dir, NON_RANDOM_METRICS).select(
         F.format_string("%s_%02d", "metric", "file_no").alias("shard_stem"), F.col("out_offset").alias("start_pos"),
@@ -181,13 +181,7 @@ def x5_token_files(spark, sf_dir):
     files.delete_on_exit(spark, folder)
     if not written:  # too few documents for the selection files
         return spark.createDataFrame([], "file_stem string, n_tokens long, token_sum long, weighted_sum long")
-    zero = F.lit(0).cast("long")
-    per = tb.read_shards(spark, folder + "/*.bin").select(
-        F.col("shard_stem").alias("file_stem"), F.size("tokens").alias("n"),
-        F.aggregate("tokens", zero, lambda a, x: a + x).alias("s"),
-        F.aggregate(F.transform("tokens", lambda x, i: x.cast("long") * (F.col("start_pos") + i)), zero, lambda a, x: a + x).alias("w"))
-    return per.groupBy("file_stem").agg(F.sum("n").cast("long").alias("n_tokens"), F.sum("s").cast("long").alias("token_sum"),
-                                        F.sum("w").cast("long").alias("weighted_sum"))
+    return sel.file_sums(tb.read_shards(spark, folder + "/*.bin")).withColumnRenamed("shard_stem", "file_stem")
 
 
 EXTREMES = METRICS + f""",

@@ -7,6 +7,7 @@ import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
+from shardwright.operators import selection as sel
 from shardwright.sources import stores
 from shardwright.sources import token_bin as tb
 
@@ -180,3 +181,14 @@ def test_files_are_streamed_from_rows_cut_in_place(spark, tmp_path):
     with pytest.raises(Exception, match="the next start at 3"):
         tb.write_long_shards(frame.where("k > 0"), str(tmp_path / "gap"), cut=cut)
     assert not os.listdir(tmp_path / "gap")
+
+
+def test_sums_of_files_beyond_64_bits(spark):
+    """Position-weighted sums of long files pass a long; their lowest 64 bits stay exact, smaller sums are as they are."""
+    rows = [(stem, 2 ** 31 - 65_536 * (k + 1), [token] * 2_000) for stem, n, token in (("long", 90, 65_535), ("short", 2, 7)) for k in range(n)]
+    got = {r["shard_stem"]: r[1:] for r in sel.file_sums(spark.createDataFrame(rows, CHUNKS)).collect()}
+    for stem in ("long", "short"):
+        own = [(start, tokens) for name, start, tokens in rows if name == stem]
+        exact = sum(t * (start + i) for start, tokens in own for i, t in enumerate(tokens))
+        assert (exact >= 2 ** 63) == (stem == "long")
+        assert got[stem] == (2_000 * len(own), sum(sum(tokens) for _, tokens in own), (exact + 2 ** 63) % 2 ** 64 - 2 ** 63)
