@@ -36,6 +36,22 @@ def test_packed_parts_are_the_stream(spark, stored):
     assert got == {stem(k // 16): stream[k:k + 16] for k in range(0, len(stream), 16)}
 
 
+def test_texts_meet_their_offsets_before_they_are_packed(spark):
+    """Of the two exchanges of the corpus only the one by shard moves packed ids; other columns go along with them."""
+    corpus = spark.createDataFrame([(0, "a"), (0, "bc"), (1, None), (2, "d")], "doc_ord long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tk.packed_parts(corpus, 16)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    made, joined = (next(k for k, line in enumerate(plan) if name in line) for name in ("MapInArrow", "SortMergeJoin"))
+    assert made < joined  # the join lies below
+    rows = tk.pack_documents(corpus.withColumn("at", F.length("text"))).collect()
+    assert sorted((r["doc_ord"], r["at"], np.frombuffer(r["packed"], "<u2").tolist()) for r in rows if r["doc_ord"] != 1) == [
+        (0, 1, [50256, 97]), (0, 2, [50256, 98, 99]), (2, 1, [50256, 100])]
+    assert [(r["at"], np.frombuffer(r["packed"], "<u2").tolist()) for r in rows if r["doc_ord"] == 1] == [(None, [50256])]
+
+
 def test_any_encoder(spark, tmp_path):
     corpus = spark.createDataFrame([(0, "abc"), (1, "")], "doc_ord long, text string")
     tb.write_shards(tk.packed_parts(corpus, 100, lambda t: [1000 + ord(c) for c in t]), str(tmp_path / "bin"))
